@@ -7,7 +7,9 @@ rarest word, so one prefix word a window is joined. Length and position bounds (
 window must fit around that word in the document) come next, then the exact
 comparison with the item-sized slice of the document, inside the join's condition.
 Words are joined by their full lower-case form, which is coarser than that of A-Z
-and much cheaper; the exact comparison lower-cases A-Z only.
+and much cheaper; the exact comparison lower-cases A-Z only and joins the slice with
+blanks, which no word holds, so that the join stays in generated code and a
+document's array of words is never copied for each of its words.
 
 Distinct windows up to `broadcast_windows` (counted first) are broadcast and the
 texts never move. Beyond that, words in the set of prefix words are shuffled with
@@ -63,14 +65,14 @@ def hits(documents: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_w
     ranked = vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     placed = windows.select("id", F.posexplode("window").alias("off", "word")).withColumn("word", F.lower("word")).join(ranked, "word")
     rarest = placed.groupBy("id").agg(F.min(F.struct("n", "word", "off")).alias("r"))
-    prefixes = windows.join(rarest, "id").select(F.col("r.word").alias("word"), F.col("r.off").alias("off"), "window", "items", F.size("window").alias("n"))
+    prefixes = windows.join(rarest, "id").select(F.col("r.word").alias("word"), F.col("r.off").alias("off"), F.array_join("window", " ").alias("window"), "items", F.size("window").alias("n"))
     prefixes = prefixes.checkpoint()
     spread = texts.select("key", "w", F.posexplode("w").alias("p", "word")).withColumn("word", F.lower("word"))
     if small:
         d, q = spread.alias("d"), F.broadcast(prefixes).alias("q")
         start = F.col("d.p") - F.col("q.off")
         fits = (start >= 0) & (start + F.col("q.n") <= F.size("d.w"))
-        same = F.transform(F.slice("d.w", F.when(fits, start + 1).otherwise(1), F.col("q.n")), ascii_lower) == F.col("q.window")
+        same = ascii_lower(F.array_join(F.slice("d.w", F.when(fits, start + 1).otherwise(1), F.col("q.n")), " ")) == F.col("q.window")
         return d.join(q, (F.col("d.word") == F.col("q.word")) & fits & same).select("d.key", (start + 1).alias("at"), F.col("q.n").alias("n"), "q.items")
     wanted = prefixes.select("word").distinct()
     near = F.slice("w", F.greatest(F.col("p") - size + 2, F.lit(1)), F.lit(2 * size - 1))
@@ -78,7 +80,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_w
     q = prefixes.alias("q")
     start = F.col("d.left") - F.col("q.off")
     fits = (start >= 0) & (start + F.col("q.n") <= F.size("d.near"))
-    same = F.transform(F.slice("d.near", F.when(fits, start + 1).otherwise(1), F.col("q.n")), ascii_lower) == F.col("q.window")
+    same = ascii_lower(F.array_join(F.slice("d.near", F.when(fits, start + 1).otherwise(1), F.col("q.n")), " ")) == F.col("q.window")
     return d.join(q, (F.col("d.word") == F.col("q.word")) & fits & same).select("d.key", (F.col("d.p") - F.col("q.off") + 1).alias("at"), F.col("q.n").alias("n"), "q.items")
 
 
