@@ -2,8 +2,8 @@
 
 Documents with one set of shingles form a class, found by a digest of the set, so
 copies are never paired. Class signatures are cut into bands. In each bucket of a
-band, classes are first paired with one pivot (linear in the bucket, however large),
-in `star_rounds` rounds with other pivots; whatever shares a bucket and is not yet
+band, classes are first paired with one pivot of the bucket's own (linear in the bucket, however large), in
+`star_rounds` rounds with other pivots, so a large group meets many pivots at once; whatever shares a bucket and is not yet
 in one component is then paired across components, so no link between components
 is lost. Every candidate pair is compared in batches of signature values, and
 dropped once the posterior probability (uniform prior) of a similarity at or above
@@ -164,7 +164,7 @@ def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float =
 
     links, placed = None, members.withColumn("root", F.col("node"))
     for step in range(star_rounds + 1):
-        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(step))).alias("pivot")).where("lo < hi").select("band", "pivot")
+        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "root"), F.xxhash64("node", "band", F.lit(step))).alias("pivot")).where("lo < hi").select("band", "pivot")
         if step < star_rounds:
             met = placed.join(mixed, "band").where("root != pivot.root").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
         else:
