@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import automaton_dedup, byte_bpe, decontam, fingerprints, langid, line_dedup, near_dup, quality, secrets, suffix_dedup
 from .common import ready, row_key, table
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
-
-def _own_split() -> F.Column:
-    return F.coalesce(HELD_OUT, F.lit(False))
+def _own_split() -> Column:
+    """Whether a row is held out of training; null ids are not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
