@@ -4,8 +4,10 @@ Documents with one set of shingles form a class, found by a digest of the set, s
 copies are never paired. Class signatures are cut into bands. In each bucket of a
 band, classes are first paired with one pivot of the bucket's own (linear in the bucket, however large), in
 `star_rounds` rounds with other pivots, so a large group meets many pivots at once; whatever shares a bucket and is not yet
-in one component is then paired across components, so no link between components
-is lost. Every candidate pair is compared in batches of signature values, and
+in one component is then compared across components, so no link between components
+is lost: buckets with one pivot are taken together, cut into blocks of bounded rows,
+and each pair of blocks is a matrix product of exact shingle sets that lists links
+only, never pairs. Every star pair is compared in batches of signature values, and
 dropped once the posterior probability (uniform prior) of a similarity at or above
 the threshold falls below `miss`; survivors are confirmed on whole shingle sets
 with integer arithmetic (100 * intersection >= percent * union).
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -91,11 +94,38 @@ def survivors(a: np.ndarray, b: np.ndarray, bounds: list[int]) -> np.ndarray:
     return left
 
 
+def exact_links(sets: list[np.ndarray], block: np.ndarray, root: np.ndarray, percent: int, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with roots and blocks that differ (or one block alone) and exact similarity at the threshold.
+
+    Shingles that two rows or more hold become columns of 0/1 matrices, taken a
+    slice at a time; their product with itself counts all intersections at once.
+    """
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    renamed = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    at, row = renamed[at[keep]], row[keep]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        s, e = np.searchsorted(at, [low, low + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[s:e], at[s:e] - low] = 1
+        both += m @ m.T
+    inter = both.astype(np.int64)
+    ok = (100 * inter >= percent * (size[:, None] + size[None, :] - inter)) & (root[:, None] != root[None, :])
+    if len(np.unique(block)) > 1:
+        ok &= block[:, None] != block[None, :]
+    return np.nonzero(np.triu(ok, 1))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return flat(column)[0].view("<u2").reshape(len(column), -1)
 
 
-def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float = 1e-9, star_rounds: int = 2, broadcast_ids: int = 1_000_000) -> DataFrame:
+def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float = 1e-9, star_rounds: int = 2, block_rows: int = 384, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(o, n, root): each row's id (null as the least long), set size and component's least id."""
     spark = documents.sparkSession
     ready(spark)
@@ -162,19 +192,33 @@ def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float =
         w = lambda c: words.select(F.col("node").alias(c), F.col("words").alias(f"w{c}"))
         return left.join(w("a"), "a").join(w("b"), "b").select("a", "b", "wa", "wb").mapInArrow(confirm, "a long, b long")
 
-    links, placed = None, members.withColumn("root", F.col("node"))
-    for step in range(star_rounds + 1):
-        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "root"), F.xxhash64("node", "band", F.lit(step))).alias("pivot")).where("lo < hi").select("band", "pivot")
-        if step < star_rounds:
-            met = placed.join(mixed, "band").where("root != pivot.root").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        else:
-            open_ = placed.join(mixed.select("band"), "band").join(facts.select("node", "n"), "node")
-            x, y = open_.alias("x"), open_.alias("y")
-            met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("c"))
+    score = members.join(sizes, "band").groupBy("node").agg(F.sum("c").alias("score"))
+    scored = members.join(score, "node").checkpoint()
+    links, placed = None, scored.withColumn("root", F.col("node"))
+    for step in range(star_rounds):
+        # The first pivot is the bucket's member met most often in all buckets: the text that a group's copies were made from.
+        best = F.struct("score", "node") if step == 0 else F.struct(F.xxhash64("node", "band", F.lit(step)), "node")
+        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("node", "root"), best).alias("pivot")).where("lo < hi").select("band", "pivot")
+        met = placed.join(mixed, "band").where("root != pivot.root").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
         new = verified(met.distinct()).checkpoint()
         links = new if links is None else links.union(new)
         roots = components(links).checkpoint()
-        placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        placed = scored.join(roots, "node", "left").select("band", "node", "score", F.coalesce("root", "node").alias("root"))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = exact_links([np.frombuffer(x, "<u8") for x in pdf.words], pdf.block.to_numpy(), pdf.root.to_numpy(), percent)
+        node = pdf.node.to_numpy()
+        return pd.DataFrame({"a": node[i], "b": node[j]})
+
+    groups = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("node", F.struct("score", "node")).alias("pivot")).where("lo < hi").select("band", "pivot")
+    open_ = placed.join(groups, "band").select("pivot", "node", "root").distinct().checkpoint()
+    counts = open_.groupBy("pivot").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    dealt = open_.join(counts, "pivot").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = dealt.select("pivot", "node", "root", "block", other.alias("o")).select("pivot", "node", "root", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
+    links = links.union(cells.join(words, "node").groupBy("pivot", "x", "y").applyInPandas(across, "a long, b long")).checkpoint()
+    roots = components(links).checkpoint()
     named = described.where("n > 0").join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("o").alias("least"))
     of_node = named.select("node", "root").distinct().join(least, "root").select("node", "least")
