@@ -3,7 +3,7 @@
 Documents with one set of shingles form a class, found by a digest of the set, so
 copies are never paired. Class signatures are cut into bands. In each bucket of a
 band, classes are first paired with one pivot of the bucket's own (linear in the bucket, however large), in
-`star_rounds` rounds with other pivots, so a large group meets many pivots at once; whatever shares a bucket and is not yet
+`star_rounds` rounds with other pivots; whatever shares a bucket and is not yet
 in one component is then compared across components, so no link between components
 is lost: buckets with one pivot are taken together, cut into blocks of bounded rows,
 and each pair of blocks is a matrix product of exact shingle sets that lists links
@@ -125,7 +125,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat(column)[0].view("<u2").reshape(len(column), -1)
 
 
-def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float = 1e-9, star_rounds: int = 2, block_rows: int = 384, broadcast_ids: int = 1_000_000) -> DataFrame:
+def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float = 1e-9, star_rounds: int = 1, block_rows: int = 384, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(o, n, root): each row's id (null as the least long), set size and component's least id."""
     spark = documents.sparkSession
     ready(spark)
