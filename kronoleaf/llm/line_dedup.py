@@ -28,16 +28,16 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import A_TO_Z, ready
+from .common import ready
 
 _STRIP = " \t\n\v\f\r"
-_TO_LOWER = str.maketrans(A_TO_Z, A_TO_Z.lower())
 SEGMENT_BITS = 1 << 22
 
 
 def line_keys(text: str | None, min_chars: int) -> list[str | None]:
     """The key of each line, or None where it is too short."""
-    return [k.translate(_TO_LOWER) if len(k := line.strip(_STRIP)) >= min_chars else None for line in (text or "").split("\n")]
+    # bytes.lower() changes A-Z only, and does a whole text at once.
+    return [k if len(k := line.strip(_STRIP)) >= min_chars else None for line in (text or "").encode().lower().decode().split("\n")]
 
 
 def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
