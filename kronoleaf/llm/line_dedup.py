@@ -106,7 +106,7 @@ def drop_repeated_lines(documents: DataFrame, min_chars: int = 20, min_docs: int
                 hit &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[hit]), pa.array(keys, pa.string()).filter(pa.array(hit))], ["__o", "key"])
 
-    suspects = docs.select("__o", "text").mapInArrow(suspect, "__o long, key string").distinct()
+    suspects = docs.select("__o", "text").mapInArrow(suspect, "__o long, key string").distinct().checkpoint()
     repeated = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("__o").alias("holder")).where(F.col("n") >= max(2, min_docs))
     salted = repeated.select("key", "holder", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
     lost = (
