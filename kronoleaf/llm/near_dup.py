@@ -195,15 +195,15 @@ def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float =
     sizes = members.groupBy("band").agg(F.count("*").alias("c"))
     score = members.join(sizes, "band").groupBy("node").agg(F.sum("c").alias("score"))
     scored = members.join(score, "node").checkpoint()
-    links, placed = None, scored.withColumn("root", F.col("node"))
+    known, placed = None, scored.withColumn("root", F.col("node"))
     for step in range(star_rounds):
         # The first pivot is the bucket's member met most often in all buckets: the text that a group's copies were made from.
         best = F.struct("score", "node") if step == 0 else F.struct(F.xxhash64("node", "band", F.lit(step)), "node")
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("node", "root"), best).alias("pivot")).where("lo < hi").select("band", "pivot")
         met = placed.join(mixed, "band").where("root != pivot.root").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
         new = verified(met.distinct()).checkpoint()
-        links = new if links is None else links.union(new)
-        roots = components(links).checkpoint()
+        roots = components(new if known is None else known.union(new))
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         placed = scored.join(roots, "node", "left").select("band", "node", "score", F.coalesce("root", "node").alias("root"))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,8 +217,8 @@ def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float =
     dealt = open_.join(counts, "pivot").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = dealt.select("pivot", "node", "root", "block", other.alias("o")).select("pivot", "node", "root", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
-    links = links.union(cells.join(words, "node").groupBy("pivot", "x", "y").applyInPandas(across, "a long, b long")).checkpoint()
-    roots = components(links).checkpoint()
+    links = known.union(cells.join(words, "node").groupBy("pivot", "x", "y").applyInPandas(across, "a long, b long")).checkpoint()
+    roots = components(links)
     named = described.where("n > 0").join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("o").alias("least"))
     of_node = named.select("node", "root").distinct().join(least, "root").select("node", "least")

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from kronoleaf.llm import automaton_dedup, byte_bpe, decontam, fingerprints, langid, line_dedup, near_dup, quality, secrets, suffix_dedup
+from kronoleaf.llm import automaton_dedup, byte_bpe, decontam, fingerprints, graph, langid, line_dedup, near_dup, quality, secrets, suffix_dedup
 from kronoleaf.llm.common import row_key
 
 P = " ".join(f"pass{i}" for i in range(80))
@@ -149,3 +149,16 @@ def test_decontamination(spark, docs, empty):
         got = {r.doc_id: r for r in docs.withColumn("k", row_key()).join(decontam.contamination(docs, bench, broadcast_windows=most).withColumnRenamed("key", "k"), "k").collect()}
         assert set(got) == {None, 2, 3, 8, 9} and got[2].n_hit == 15 and got[8].n_hit == 2 and got[9]["items"] == ["1", "2"]
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(300, i) for i in range(200, 230)] + [(400, 401), (401, 402), (402, 400), (500, 500), (600, 601), (601, 600)]
+    pairs += [(int(a), int(b)) for a, b in rng.integers(-1000, -800, (90, 2))]
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((n, r) for n, r in root.items() if n != r)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
