@@ -5,16 +5,19 @@ words of each language with most occurrences are known; every other word backs
 off to the longest of its character n-grams (from `longest` down to 1) that are
 known, over the `max_grams` most frequent n-grams of each language, counted over
 all words. Both bounds keep the model's broadcast fixed; they prune the model, not
-the counts. A document's score is the posterior of its best language under evenly
-weighted languages.
+the counts, and nothing else does: a word met once counts, and so does a language
+of one short text. Known words of over `_LONG` letters are held by their SHA-256. A
+document's score is the posterior of its best language under evenly weighted
+languages.
 
 Defined cases: text that is null or has no letter gets `und` with score 0;
-training rows with null language or text are skipped; with no training rows all is
-`und`; equal scores go to the language first in code-point order; ids may repeat.
+training rows with null language or text are skipped, and a language without any
+letter in its texts is not learned; with no training rows all is `und`; equal scores go to the language first in code-point order; ids may repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -24,8 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import buckets
+
 _LETTERS = regex.compile(r"\p{L}+")
 _CACHE = 300_000
+_LONG = 64
 
 
 def _words(text: str) -> list[str]:
@@ -46,7 +52,7 @@ def train(documents: DataFrame, max_words: int = 20_000, max_grams: int = 20_000
 
         def out():
             for lang, words in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text")
@@ -81,13 +87,20 @@ def train(documents: DataFrame, max_words: int = 20_000, max_grams: int = 20_000
     words = usable.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
 
     def top(counts: DataFrame, most: int) -> tuple[list, dict[str, int]]:
-        rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-        rows = counts.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most).drop("r").collect()
-        return rows, {r.lang: r.t for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
+        tally = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
+        above = F.sum("m").over(Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+        least = tally.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < most).groupBy("lang").agg(F.min("n").alias("least"))
+        short = F.when(F.length("word") > _LONG, F.concat(F.lit("#"), F.sha2("word", 256))).otherwise(F.col("word"))
+        rows = counts.join(F.broadcast(least), "lang").where("n >= least").select("lang", short.alias("word"), "n")
+        # Only those with the least count can be many: first ranked in parts.
+        for part in ([F.pmod(F.xxhash64("word"), F.lit(buckets(documents.sparkSession)))], []):
+            rank = Window.partitionBy("lang", *part).orderBy(F.desc("n"), "word")
+            rows = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most).drop("r")
+        return rows.collect(), {r.lang: r.t for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
 
     pieces = words.mapInArrow(split, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    known, totals = top(words.where("n >= 3"), max_words)
-    parts, gram_totals = top(pieces.where("n >= 3").checkpoint(), max_grams)
+    known, totals = top(words, max_words)
+    parts, gram_totals = top(pieces.checkpoint(), max_grams)
     langs = sorted(totals)
     return {"langs": langs, "longest": longest, "words": _logs(known, totals, langs), "grams": _logs(parts, gram_totals, langs)}
 
@@ -102,7 +115,8 @@ def _logs(rows: list, totals: dict[str, int], langs: list[str]) -> dict[str, np.
 
 def word_scores(word: str, model: dict) -> np.ndarray:
     """A word's log frequency in each language, or that of its n-grams."""
-    if (known := model["words"].get(word)) is not None:
+    short = word if len(word) <= _LONG else "#" + hashlib.sha256(word.encode()).hexdigest()
+    if (known := model["words"].get(short)) is not None:
         return known
     for n in range(min(model["longest"], len(word) + 2), 0, -1):
         found = [g for x in grams(word[:200], n) if (g := model["grams"].get(x)) is not None]

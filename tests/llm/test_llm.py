@@ -116,6 +116,18 @@ def test_language(spark, empty):
     assert langid.predict(docs, langid.train(empty), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_one_short_document(spark):
+    texts = {"en": "the cat and the dog were with them", "fr": "le chat et la maison dans les rues"}
+    rare = [(100, "talo saari järvi", "fi"), (101, "hylde", "da"), (102, "ż" * 500, "pl")]
+    docs = spark.createDataFrame([(i, f"{texts[k]} {i}", k) for i in range(30) for k in texts] + rare, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model["langs"] == ["da", "en", "fi", "fr", "pl"] and {"talo", "hylde"} <= set(model["words"]) and max(map(len, model["words"])) <= 65
+    assert all(r.lang_pred == r.lang for r in langid.predict(docs, model, ["doc_id", "lang"]).collect())
+    ties = langid.train(docs, max_words=2, max_grams=3)
+    assert {w for w, v in ties["words"].items() if v.argmax() == 2} == {"järvi", "saari"} and ties["words"].keys() >= {"and", "the", "hylde"}
+    assert langid.train(docs.limit(1).selectExpr("'7 8' as text", "'xx' as lang"))["langs"] == []
+
+
 def test_line_dedup(docs, empty):
     out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs, bits=line_dedup.SEGMENT_BITS).collect()}
     assert (out[10].text, out[11].text, out[12].text) == ("own ten", "own eleven", "a repeated line that is long")
