@@ -3,7 +3,7 @@
 Counts of words per language come from every training document. The `max_words`
 words of each language with most occurrences are known; every other word backs
 off to the longest of its character n-grams (from `longest` down to 1) that are
-known, over the `max_grams` most frequent n-grams of each language, counted over
+known, averaged over the whole word, over the `max_grams` most frequent n-grams of each language, counted over
 all words. Both bounds keep the model's broadcast fixed; they prune the model, not
 the counts, and nothing else does: a word met once counts, and so does a language
 of one short text. Known words of over `_LONG` letters are held by their SHA-256. A
@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +117,16 @@ def word_scores(word: str, model: dict) -> np.ndarray:
     short = word if len(word) <= _LONG else "#" + hashlib.sha256(word.encode()).hexdigest()
     if (known := model["words"].get(short)) is not None:
         return known
-    for n in range(min(model["longest"], len(word) + 2), 0, -1):
-        found = [g for x in grams(word[:200], n) if (g := model["grams"].get(x)) is not None]
+    marked, total = f"^{word}$", np.zeros(len(model["langs"]))
+    for n in range(min(model["longest"], len(marked)), 0, -1):
+        found = 0
+        for i in range(len(marked) - n + 1):
+            if (g := model["grams"].get(marked[i : i + n])) is not None:
+                total += g
+                found += 1
         if found:
-            return reduce(np.add, found) / len(found)
-    return np.zeros(len(model["langs"]))
+            return total / found
+    return total
 
 
 def predict(documents: DataFrame, model: dict, keep: list[str]) -> DataFrame:

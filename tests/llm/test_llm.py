@@ -128,6 +128,12 @@ def test_language_of_one_short_document(spark):
     assert langid.train(docs.limit(1).selectExpr("'7 8' as text", "'xx' as lang"))["langs"] == []
 
 
+def test_language_of_long_run(spark):
+    docs = spark.createDataFrame([(i, t, k) for i in range(5) for k, t in (("a", "abba baab abab"), ("c", "cddc dccd cdcd"))], "doc_id long, text string, lang string")
+    runs = spark.createDataFrame([(0, "ab" * 100 + "cd" * 2400, "c"), (1, "z" * 200 + "abab" * 1200, "a")], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang and r.score > 0.9 for r in langid.predict(runs, langid.train(docs), ["doc_id", "lang"]).collect())
+
+
 def test_line_dedup(docs, empty):
     out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs, bits=line_dedup.SEGMENT_BITS).collect()}
     assert (out[10].text, out[11].text, out[12].text) == ("own ten", "own eleven", "a repeated line that is long")
