@@ -344,6 +344,12 @@ def cosine_topk(t):
     return vectors.cosine_top(v, v.where("vec_id < 20"), "vec_id", "embedding", 5).select("query_id", "vec_id", "rank")
 
 
+@query("SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id%20=0 AND v.vec_id<>q.vec_id) WHERE rank<=5")
+def cosine_topk_each_20th(t):
+    v = t("embeddings")
+    return vectors.cosine_top(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 5).select("query_id", "vec_id", "rank")
+
+
 @query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id<b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])>=0.4")
 def threshold_edges(t):
     return vectors.threshold_edges(t("embeddings"), "vec_id", "embedding", 0.4)

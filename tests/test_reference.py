@@ -3,10 +3,11 @@
 from datetime import datetime
 
 import duckdb
+import numpy as np
 import pytest
 
 from kronoleaf.functions.timeutil import duration_seconds, duration_text
-from kronoleaf.operators import checks, evidence, geo, sessions
+from kronoleaf.operators import checks, evidence, geo, sessions, vectors
 from kronoleaf.plans import catalog
 from kronoleaf.sources import chat
 from kronoleaf.streaming import windows
@@ -92,6 +93,25 @@ def test_orphans_and_valid_coordinates(spark):
     assert [r[0] for r in got.select(evidence.strength(got.k)).collect()] == ["strong", "medium", "weak"]
 
 
+def test_cosine_top_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in (np.arange(1, 8) / 7 if i % 3 == 0 else rng.normal(size=7))]) for i in range(200)] + [(None, [1.0] * 7), (500, None)]
+    v = spark.createDataFrame(rows, "k long, v array<float>").repartition(5)
+    rows = [(i, np.array(x, np.float32).astype(float)) for i, x in rows[:200]]
+    cosine = lambda a, b: (a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))
+    want = {q: [i for _, i in sorted((-round(cosine(a, b), 12), i) for i, b in rows if i != q)[:5]] for q, a in rows if q % 20 == 0}
+    monkeypatch.setattr(type(v), "collect", lambda self: pytest.fail("vectors collected to the driver"))
+    tops = [vectors.cosine_top(v, v.where("k % 20 = 0"), "k", "v", 5, *block) for block in ((), (3,), (64,))]
+    none = vectors.cosine_top(v, v.where("k < 0"), "k", "v", 5)
+    monkeypatch.undo()
+    for top in tops:
+        got = {}
+        for r in top.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.k)
+        assert got == want
+    assert none.count() == 0
+
+
 def test_stream_windows(spark, tmp_path):
     rows = spark.createDataFrame([(1, datetime(2025, 1, 1, 0, 0)), (1, datetime(2025, 1, 1, 1, 30)), (1, datetime(2025, 1, 1, 2, 0))], "u long, ts timestamp")
     rows.write.parquet(str(tmp_path / "in"))
