@@ -36,9 +36,18 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near-duplicates (five words, 0.8)."""
-    kept = near_dup.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each group of near-duplicates (five words, 0.8): one of the least doc_id, null being the least.
+
+    Ids may repeat or be null: a row is kept for itself, not for its id. Rows without
+    words are in no group and stay.
+    """
+    rows = near_dup.link_classes(docs, k=5, percent=80)
+    equal = rows.where("n > 0").groupBy("group", "key").agg(F.min("o").alias("o"), F.count("*").alias("c"))
+    best = equal.groupBy("group").agg(F.min(F.struct("o", "key", "c")).alias("r")).select(F.col("r.key").alias("__key"), "r.c")
+    kept = best.union(rows.where("n = 0").select("key", F.lit(1)).distinct()).checkpoint()
+    keyed = docs.withColumn("__key", row_key())
+    single, repeated = (keyed.join(kept.where(c).select("__key"), "__key", "left_semi") for c in ("c = 1", "c > 1"))
+    return single.union(repeated.dropDuplicates(["__key"])).select(*docs.columns)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ready
+from .common import ready, row_key
 from .graph import components
 from .textkit import LOWER, chunks, flat, mix, shingles, word_hashes
 
@@ -126,10 +126,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float = 1e-9, star_rounds: int = 1, block_rows: int = 384, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(o, n, root): each row's id (null as the least long), set size and component's least id."""
+    """(key, o, n, group, root): each row's `row_key()`, id (null as the least long), set size, component (null without shingles) and the component's least id, which components can share where ids repeat."""
     spark = documents.sparkSession
     ready(spark)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("o"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("o"), F.coalesce("text", F.lit("")).alias("text"), row_key().alias("key"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +138,9 @@ def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float =
                 full = np.diff(rows) > 0
                 sig = np.zeros((len(full), len(_MULTIPLIERS)), "<u2")
                 sig[full] = signatures(value, rows).astype("<u2")
-                yield pa.RecordBatch.from_arrays([part.column("o"), pa.array(np.diff(rows).astype(np.int64)), pa.array(digests(value, rows)), pa.array([x.tobytes() for x in sig], pa.binary())], ["o", "n", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("o"), pa.array(np.diff(rows).astype(np.int64)), pa.array(digests(value, rows)), pa.array([x.tobytes() for x in sig], pa.binary())], ["key", "o", "n", "node", "sig"])
 
-    described = docs.mapInArrow(describe, "o long, n long, node long, sig binary").checkpoint()
+    described = docs.mapInArrow(describe, "key long, o long, n long, node long, sig binary").checkpoint()
     classes = described.where("n > 0").groupBy("node").agg(F.min("o").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +221,8 @@ def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float =
     roots = components(links)
     named = described.where("n > 0").join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("o").alias("least"))
-    of_node = named.select("node", "root").distinct().join(least, "root").select("node", "least")
-    return described.drop("sig").join(of_node, "node", "left").select("o", "n", "node", F.coalesce("least", "o").alias("root"))
+    of_node = named.select("node", "root").distinct().join(least, "root").select("node", F.col("root").alias("group"), "least")
+    return described.drop("sig").join(of_node, "node", "left").select("key", "o", "n", "node", "group", F.coalesce("least", "o").alias("root"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

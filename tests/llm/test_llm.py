@@ -161,6 +161,18 @@ def test_near_dup(docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_filter_keeps_one_row_of_a_group(spark, empty):
+    import corpus_pipeline
+
+    rows = [(None, P), (None, P), (None, P + " more"), (None, Q), (7, Q), (7, "own words of row seven only here"), (3, "w " + Q), (8, "lone " * 9), (8, "lone " * 9), (9, ""), (9, ""), (None, None), (5, " ".join(f"five{i}" for i in range(60)))]
+    rows += [(5, " ".join(f"cinq{i}" for i in range(60))), (6, rows[-1][1] + " end")]
+    got = corpus_pipeline.near_filter(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    want = [(None, Q), (7, rows[5][1]), (8, "lone " * 9), (9, ""), (9, ""), (None, None), rows[12], rows[13]]
+    rest = [tuple(r) for r in got if not (r.text or "").startswith(P)]
+    assert sorted(map(str, rest)) == sorted(map(str, want)) and len(got) == len(want) + 1
+    assert corpus_pipeline.near_filter(spark, empty, "").isEmpty()
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(f"PASS{i}" for i in range(10, 25))), (2, "a b"), (3, None), (4, "..."), (1, "a B")], "item_id long, text string")
     for most in (200_000, 0):
