@@ -17,7 +17,8 @@ the slice around them.
 
 Defined cases: null has no words; items without words have no window; repeated
 doc_ids count as one document in `hits`; repeated items and windows count once;
-null doc_ids hit like any other; only item_id, doc_id and text are read.
+null doc_ids hit like any other; items with a null item_id hit too, but are not
+among a document's `items`, which may so be empty; only item_id, doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -96,4 +97,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, br
     fresh = F.greatest(F.col("at") + F.col("n") - F.greatest(F.col("at"), F.coalesce(reach, F.lit(0))), F.lit(0))
     covered = found.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
     items = found.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    return covered.join(items, "key")
+    return covered.join(items, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))

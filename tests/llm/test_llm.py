@@ -181,6 +181,13 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_item_without_id(spark, docs):
+    bench = spark.createDataFrame([(None, " ".join(f"pass{i}" for i in range(10, 25))), (2, "a b"), (None, "a b")], "item_id long, text string")
+    for most in (200_000, 0):
+        got = {r.doc_id: r for r in docs.withColumn("k", row_key()).join(decontam.contamination(docs, bench, broadcast_windows=most).withColumnRenamed("key", "k"), "k").collect()}
+        assert {i: (r.n_hit, r["items"]) for i, r in got.items()} == {None: (15, []), 2: (15, []), 3: (15, []), 8: (2, ["2"]), 9: (2, ["2"])}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(300, i) for i in range(200, 230)] + [(400, 401), (401, 402), (402, 400), (500, 500), (600, 601), (601, 600)]
