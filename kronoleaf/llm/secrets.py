@@ -1,7 +1,8 @@
 """Secret scans by a trigram inverted index, in DataFrame functions only.
 
-Each rule's regex gives a Boolean query: any of several clauses, each a set of
-trigrams that every match must hold. Only trigrams that queries name are indexed.
+Each rule's regex gives a Boolean query, derived from its parse tree: any of several
+clauses, each a set of trigrams that a match must hold. Only trigrams that queries
+name are indexed.
 Postings are lists of row keys by (trigram, block of rows), so a trigram that most
 documents hold is still many bounded rows. Clauses intersect their postings within
 a block, and the candidates of a rule are the union of its clauses. Rules without a
@@ -11,11 +12,13 @@ The kinds after the first three are added rules. Spans are half-open, in code
 points, of leftmost non-overlapping matches of each kind.
 
 Defined cases: null is the empty text and has no span; repeated rows and ids each
-get their own result row; extra columns are ignored; an empty table gives none.
+get their own result row; extra columns are ignored; an empty table gives none; a
+very long text with very many matches takes time near their number.
 """
 
 from __future__ import annotations
 
+from re import _parser as re_parser
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,38 +29,60 @@ from .common import ready
 class Rule(NamedTuple):
     kind: str
     pattern: str
-    #: Clauses of literals that a match must hold, in lower case; none: scan fully.
-    literals: tuple[tuple[str, ...], ...] = ()
     #: A match counts if this group has so many characters at least.
     group: int = 0
     least: int = 0
-    #: For full scans: what texts must match before spans are cut out.
-    test: str = ""
 
 
 #: The patterns and lengths of the base kinds, then the added kinds.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")), 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", (("akia",),), 0, 20),
-    Rule("hex", r"[0-9a-f]+", (), 0, 24, r"[0-9a-f]{24}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", (("-----begin", "private key-----"),)),
-    Rule("repo", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyj", ".eyj"),)),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("repo", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE_KINDS = 3
+_EXPAND = 8
+
+
+def _walk(parts, states: list[tuple[frozenset, str]]) -> list[tuple[frozenset, str]]:
+    """The ways through a regex's parse tree, each with its finished literal runs and the open one."""
+    for op, arg in parts:
+        name = str(op)
+        if name == "LITERAL":
+            states = [(done, run + chr(arg).lower()) for done, run in states]
+        elif name == "SUBPATTERN":
+            states = _walk(arg[-1], states)
+        elif name == "BRANCH":
+            states = [s for way in arg[1] for s in _walk(way, states)]
+        elif name == "IN" and len(arg) <= _EXPAND and all(str(o) == "LITERAL" for o, _ in arg):
+            states = [(done, run + chr(c).lower()) for done, run in states for _, c in arg]
+        elif name == "MAX_REPEAT" and arg[1] == 1 and [str(o) for o, _ in arg[2]] == ["LITERAL"]:
+            states = states + _walk(arg[2], states)
+        else:
+            states = [(done | {run}, "") for done, run in states]
+        states = list(dict.fromkeys(states))
+    return states
 
 
 def query(rule: Rule) -> list[list[str]]:
-    """The rule's clauses as trigrams; an empty clause (a literal too short) means a full scan."""
-    clauses = [sorted({x[i : i + 3] for x in clause for i in range(len(x) - 2)}) for clause in rule.literals]
-    return clauses if all(clauses) else []
+    """The regex as a Boolean query: clauses of trigrams, of which a match's text holds all of one at least.
+
+    Empty where some way through the regex needs no trigram; such a rule scans fully.
+    """
+    clauses = []
+    for done, run in _walk(re_parser.parse(rule.pattern), [(frozenset(), "")]):
+        clauses.append(sorted({x[i : i + 3] for x in (*done, run) for i in range(len(x) - 2)}))
+    return [list(c) for c in dict.fromkeys(map(tuple, clauses))] if all(clauses) else []
 
 
 def postings(docs: DataFrame, trigrams: list[str], blocks: int) -> DataFrame:
     """(block, trigram, keys) for the named trigrams."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select("key", F.pmod("key", F.lit(blocks)).alias("block"), F.explode(held).alias("trigram")).groupBy("block", "trigram").agg(F.collect_set("key").alias("keys"))
+    low = docs.select("key", F.pmod("key", F.lit(blocks)).alias("block"), F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    return low.select("key", "block", F.explode(held).alias("trigram")).groupBy("block", "trigram").agg(F.collect_set("key").alias("keys"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], blocks: int) -> DataFrame:
@@ -78,21 +103,42 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], blocks: int) -> DataFra
     return rows.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def spans(rule: Rule, text: Column) -> Column:
-    """array<struct<start, order, end>> of the rule's matches that count."""
-    order = next(i for i, r in enumerate(RULES) if r.kind == rule.kind)
+def steps(rule: Rule, text: Column) -> Column:
+    """array<struct<g, w, c>> of the matches: the characters before each, in it, and in its counted group."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.zip_with(whole, counted, lambda w, c: F.struct(F.length(w).alias("w"), F.length(c).alias("c"))), lambda g, m: F.struct(F.length(g).alias("g"), m.w.alias("w"), m.c.alias("c")))
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,c:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    sizes = F.zip_with(whole, counted, lambda w, c: F.struct(F.length(w).alias("w"), F.length(c).alias("c")))
+    return F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), sizes, lambda g, m: F.struct(F.length(g).alias("g"), m.w.alias("w"), m.c.alias("c")))
+
+
+def spans(rule: Rule, found: Column) -> Column:
+    """array<struct<start, order, end>> of the matches that count, from `steps`.
+
+    Offsets are sums of lengths, taken in blocks of the root of the number of
+    matches: what a block copies is its own, so long texts with very many matches
+    cost m to the power of 1.5 at most.
+    """
+    order = next(i for i, r in enumerate(RULES) if r.kind == rule.kind)
+    width = F.ceil(F.sqrt(F.size(found))).cast("int")
+    none = F.array().cast("array<array<struct<g:int,w:int,c:int>>>")
+    blocks = F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda b: F.slice(found, b * width + 1, width))).otherwise(none)
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def base(acc, block):
+        after = acc.at + F.aggregate(block, F.lit(0), lambda at, x: at + x.g + x.w)
+        return F.struct(after.alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
+
+    def inside(block, at):
+        empty = F.array().cast("array<struct<start:int,order:int,end:int,c:int>>")
 
-    def step(acc, x):
-        at = acc.at + x.g
-        return F.struct((at + x.w).alias("at"), F.concat(acc.out, F.array(F.struct(at.alias("start"), F.lit(order).alias("order"), (at + x.w).alias("end"), x.c.alias("c")))).alias("out"))
+        def step(acc, x):
+            start, end = acc.at + x.g, acc.at + x.g + x.w
+            return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), x.c.alias("c")))).alias("out"))
 
-    made = F.aggregate(steps, start, step, lambda acc: acc.out)
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc.out)
+
+    made = F.flatten(F.zip_with(blocks, F.aggregate(blocks, first, base, lambda acc: acc.out), inside))
     return F.transform(F.filter(made, lambda s: s.c >= rule.least), lambda s: F.struct(s.start.alias("start"), s.order.alias("order"), s.end.alias("end")))
 
 
@@ -109,12 +155,11 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, block_rows: int
     indexed = [r for r in rules if query(r)]
     full = [r for r in rules if not query(r)]
     kinds = candidates(docs, tuple(indexed), max(1, rows // block_rows))
-    none = F.array().cast("array<struct<start:int,order:int,end:int>>")
+    none = F.array().cast("array<struct<g:int,w:int,c:int>>")
     hit = docs.join(kinds, "key", "left")
-
-    parts = [F.when(F.array_contains("kinds", r.kind), spans(r, F.col("text"))).otherwise(none) for r in indexed]
-    parts += [F.when(F.rlike("text", F.lit(r.test or r.pattern)), spans(r, F.col("text"))).otherwise(none) for r in full]
-    out = hit.select("doc_id", F.array_sort(F.concat(*parts)).alias("s"))
+    tests = {r.kind: F.array_contains("kinds", r.kind) for r in indexed} | {r.kind: F.rlike("text", F.lit(r.pattern)) for r in full}
+    found = hit.select("doc_id", *[F.when(tests[r.kind], steps(r, F.col("text"))).otherwise(none).alias(r.kind) for r in rules])
+    out = found.select("doc_id", F.array_sort(F.concat(*[spans(r, F.col(r.kind)) for r in rules])).alias("s"))
     base = F.filter("s", lambda s: s.order < BASE_KINDS)
 
     def count(i: int) -> Column:

@@ -80,13 +80,37 @@ def test_substring_dedup(docs, empty):
     assert automaton_dedup.remove_repeats(empty).count() == 0
 
 
-def test_secrets(docs, empty):
-    row = next(r for r in secrets.scan(docs).collect() if r.doc_id == 13)
-    assert (row.n_assign, row.n_access, row.n_hex) == (2, 1, 1)
-    text = ROWS[13][1]
-    spans = [(m.start(), k, m.end()) for k, p, g, n in ((0, secrets.RULES[0].pattern, 2, 6), (1, r"AKIA[A-Z0-9]+", 0, 20), (2, "[0-9a-f]+", 0, 24)) for m in re.finditer(p, text) if len(m.group(g)) >= n]
-    assert row.spans == ",".join(f"{secrets.RULES[k].kind}:{s}:{e}" for s, k, e in sorted(spans)) and row.base_sha256 == sha(row.spans.encode())
-    assert secrets.scan(docs).count() == len(ROWS) and secrets.scan(empty).count() == 0
+BASE = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
+
+
+def base_spans(text):
+    return sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(BASE) for m in re.finditer(p, text or "") if len(m.group(g)) >= n)
+
+
+def test_secrets(spark, docs, empty):
+    more = ["secret=token:abcdefgh", "token:token:token:abcdefgh", "TOKEN = 'short' passwd:\"longer1\"", "AKIA" * 9 + " AKIA" + "B" * 15, "0" * 23 + "g" + "a1" * 20, "api_key=abcdefg api=key apikey:/+.=-_a", "token=a token=abcdef " * 900, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 40 + " eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "日本 secret:ÀÀ secret:ab12cd"]
+    rows = [(i, t) for i, t, _ in ROWS] + [(100 + i, t) for i, t in enumerate(more)]
+    want = []
+    for i, t in rows:
+        found = base_spans(t)
+        text = ",".join(f"{BASE[k][0]}:{s}:{e}" for s, k, e in found)
+        want.append((i, *(sum(k == n for _, k, _ in found) for n in range(3)), sha(text.encode())))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_rows=5)
+    same(got, want, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"])
+    by = {r.doc_id: r.spans for r in got.collect()}
+    assert by[107] == "pem:0:31,repo:32:76,hex:36:76,jwt:77:112" and by[0] == ""
+    assert secrets.scan(empty).count() == 0
+
+
+def test_secret_queries_are_derived():
+    assert [len(secrets.query(r)) for r in secrets.RULES] == [6, 1, 0, 1, 5, 1]
+    assert secrets.query(secrets.Rule("x", "ab?cd|wxyz")) == [["acd"], ["abc", "bcd"], ["wxy", "xyz"]] and secrets.query(secrets.Rule("x", "abcd|[a-z]+")) == []
+
+
+def test_secrets_of_a_long_text(spark):
+    text = "token=abcdef1 is a face of dead beef " * 30_000
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_assign == 30_000 and row.base_sha256 == sha(",".join(f"assign:{s}:{e}" for s, _, e in base_spans(text)).encode())
 
 
 def test_fingerprints(docs, empty):
