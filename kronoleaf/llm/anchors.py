@@ -4,7 +4,10 @@ Every window of `length` items (bytes or words) has one anchor: the start of its
 least-hashed `gram`-item piece, the leftmost of equals. Equal windows have their
 anchors at equal offsets, so windows need only be compared with windows whose anchor
 piece is the same. Neighbouring windows that share an anchor form one packed record
-of 38 bytes. Records are dealt by piece hash, in packed batches. In a bucket,
+of 39 bytes. A task first combines its records of equal content: all but one of them
+are settled there and then travel spread over all buckets, so a passage that a third
+of all documents hold reaches its own bucket once a task. The others are dealt by
+piece hash, in packed batches, over buckets whose number follows the bytes of text. In a bucket,
 
 * a piece seen once: none of its windows repeat;
 * records with equal content (piece and full context, 128 bits of hash): all
@@ -23,13 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from .common import buckets
 from .textkit import Rolling, mix
 
-#: piece hash, content hash, row key, document order, first window start, anchor offset in it, windows - 1
-RECORD = np.dtype([("piece", "<u8"), ("content", "<u8"), ("key", "<i8"), ("order", "<i8"), ("start", "<i4"), ("lead", "u1"), ("more", "u1")])
-FOUND = "key long, start int, lead int, more int, open boolean, alone boolean, bucket int, order long"
+#: piece hash, content hash, row key, document order, first window start, anchor offset in it, windows - 1,
+#: and 1 where other records of the content were settled in the task, 2 for those
+RECORD = np.dtype([("piece", "<u8"), ("content", "<u8"), ("key", "<i8"), ("order", "<i8"), ("start", "<i4"), ("lead", "u1"), ("more", "u1"), ("same", "u1")])
+BUCKET_BYTES = 64 << 20
+FOUND = "key long, start int, lead int, more int, open boolean, alone boolean, bucket int, o long"
 
 
 def records(values: np.ndarray, rows: np.ndarray, keys: np.ndarray, order: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -67,20 +73,51 @@ def records(values: np.ndarray, rows: np.ndarray, keys: np.ndarray, order: np.nd
     return out
 
 
-def deal(made: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of about `BUCKET_BYTES` of text, and as many as shuffles have partitions at least."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(buckets(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
+def combined(r: np.ndarray, ordered: bool) -> np.ndarray:
+    """The records with `same` set, from those of one task."""
+    r = r[np.lexsort((r["order"], r["content"], r["piece"]))]
+    new = np.ones(len(r), bool)
+    new[1:] = (r["piece"][1:] != r["piece"][:-1]) | (r["content"][1:] != r["content"][:-1])
+    group = np.cumsum(new) - 1
+    if ordered:
+        r["same"] = 2 * (r["order"] > r["order"][new][group])
+    else:
+        r["same"] = np.where(new, np.bincount(group)[group] > 1, 2)
+    return r
+
+
+def deal(made: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed records) of a batch."""
-    where = (made["piece"] % np.uint64(buckets)).astype(np.int64)
+    spread = np.where(made["same"] == 2, made["key"].view("<u8"), made["piece"])
+    where = (spread % np.uint64(n)).astype(np.int64)
     order = np.argsort(where, kind="stable")
     made, where = made[order], where[order]
-    edges = np.flatnonzero(np.diff(where)) + 1
-    for some in np.split(made, edges) if len(made) else ():
-        yield int(some["piece"][0] % np.uint64(buckets)), some.tobytes()
+    edges = np.flatnonzero(np.diff(where, prepend=-1))
+    for s, e in zip(edges, [*edges[1:], len(made)], strict=True):
+        yield int(where[s]), made[s:e].tobytes()
 
 
-def packed(parts: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    pairs = list(deal(np.concatenate(parts), buckets)) if parts else []
-    if pairs:
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int32()), pa.array([x for _, x in pairs], pa.binary())], ["bucket", "packed"])
+def packed(parts: Iterator[np.ndarray], n: int, ordered: bool, most: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """A task's records, combined and dealt, `most` bytes of them at once."""
+
+    def out() -> pa.RecordBatch:
+        pairs = list(deal(combined(np.concatenate(held), ordered), n))
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int32()), pa.array([x for _, x in pairs], pa.binary())], ["bucket", "packed"])
+
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(x.nbytes for x in held) > most:
+            yield out()
+            held = []
+    if sum(map(len, held)):
+        yield out()
 
 
 def repeats(blobs: DataFrame, ordered: bool) -> DataFrame:
@@ -90,20 +127,23 @@ def repeats(blobs: DataFrame, ordered: bool) -> DataFrame:
     contents those of the least order stay open instead of being flagged.
     """
 
+    def rows(key: tuple, r: np.ndarray, open_: np.ndarray, alone: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": r["key"], "start": r["start"], "lead": r["lead"].astype(np.int32), "more": r["more"].astype(np.int32), "open": open_, "alone": alone, "bucket": np.int32(key[0]), "o": r["order"]})
+
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.concatenate([np.frombuffer(x, RECORD) for x in pdf.packed])
-        r = r[np.argsort(r["piece"], kind="stable")]
+        done, r = r[r["same"] == 2], r[r["same"] < 2]
         _, inverse, count = np.unique(r["piece"], return_inverse=True, return_counts=True)
-        r = r[count[inverse] > 1]
+        r = r[(count[inverse] > 1) | (r["same"] > 0)]
         r = r[np.lexsort((r["order"], r["content"], r["piece"]))] if ordered else r[np.lexsort((r["content"], r["piece"]))]
         if not len(r):
-            return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
+            return rows(key, done, np.zeros(len(done), bool), np.zeros(len(done), bool))
         new_piece = np.ones(len(r), bool)
         new_piece[1:] = r["piece"][1:] != r["piece"][:-1]
         new = new_piece.copy()
         new[1:] |= r["content"][1:] != r["content"][:-1]
         group = np.cumsum(new) - 1
-        copies = np.bincount(group)[group]
+        copies = np.bincount(group, 1 + r["same"])[group]
         piece = np.cumsum(new_piece) - 1
         contents = np.bincount(piece, new)[piece]
         if ordered:
@@ -117,7 +157,8 @@ def repeats(blobs: DataFrame, ordered: bool) -> DataFrame:
         r, open_, alone = r[take], open_[take], alone[take]
         flag = flag[take]
         # A record that is flagged and open at once stands for both.
-        return pd.DataFrame({"key": r["key"], "start": r["start"], "lead": r["lead"].astype(np.int32), "more": r["more"].astype(np.int32), "open": open_, "alone": alone & ~flag, "bucket": np.int32(key[0]), "order": r["order"]})
+        no = np.zeros(len(done), bool)
+        return rows(key, np.concatenate([done, r]), np.concatenate([no, open_]), np.concatenate([no, alone & ~flag]))
 
     return blobs.groupBy("bucket").applyInPandas(settle, FOUND)
 

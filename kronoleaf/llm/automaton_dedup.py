@@ -13,7 +13,7 @@ has a smaller document than its own. Words are compared as they are.
 Defined cases: null has no words; fewer words than `length` lose nothing; rows that
 repeat a doc_id have one rank, so they do not remove one another's words; a null
 doc_id is the smallest; an empty table gives an empty result; extra columns are
-ignored.
+ignored; a very long text is anchored alone, in one pass.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .anchors import packed, records, repeats
-from .common import buckets, ready, row_key
+from .anchors import bucket_count, packed, records, repeats
+from .common import ready, row_key, row_order
 from .textkit import chunks, flat, word_bounds, word_hashes
 
 GRAM = 12
@@ -114,22 +114,20 @@ class SuffixAutomaton:
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(key, spans): word ranges [start, end) that an earlier document holds, packed as start * 2^32 + end."""
-    spark = docs.sparkSession
-    ready(spark)
-    n = buckets(spark)
+    """(key, o, spans): word ranges [start, end) that an earlier document holds, packed as start * 2^32 + end."""
+    ready(docs.sparkSession)
+    n = bucket_count(docs)
     gram = min(GRAM, max(1, length * 2 // 5))
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for part in chunks(batch):
-                hashes, _, _, rows = word_hashes(*flat(part.column("text")))
-                parts.append(records(hashes, rows, np.asarray(part.column("key")), np.asarray(part.column("o")), length, gram))
-            yield from packed(parts, n)
+        def made(part: pa.RecordBatch) -> np.ndarray:
+            hashes, _, _, rows = word_hashes(*flat(part.column("text")))
+            return records(hashes, rows, np.asarray(part.column("key")), np.asarray(part.column("o")), length, gram)
+
+        yield from packed((made(part) for batch in batches for part in chunks(batch)), n, True)
 
     found = repeats(docs.select("key", "o", "text").mapInArrow(anchor, "bucket int, packed binary"), True).checkpoint()
-    wanted = found.where("open").groupBy("key").agg(F.collect_list(F.struct("start", "more", "bucket")).alias("wanted"))
+    wanted = found.where("open").groupBy("key", "o").agg(F.collect_list(F.struct("start", "more", "bucket")).alias("wanted"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,23 +152,22 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         for s, o, key, start in zip(sequences, pdf.o.tolist(), pdf.key.tolist(), pdf.start.tolist(), strict=True):
             for end, owner in automaton.owners(s, length):
                 if owner < o:
-                    if out and out[-1][0] == key and out[-1][2] == start + end - 1 and out[-1][1] >= start:
-                        out[-1] = (key, out[-1][1], start + end)
+                    if out and out[-1][:2] == (key, o) and out[-1][3] == start + end - 1 and out[-1][2] >= start:
+                        out[-1] = (key, o, out[-1][2], start + end)
                     else:
-                        out.append((key, start + end - length, start + end))
-        return pd.DataFrame(out, columns=["key", "start", "end"])
+                        out.append((key, o, start + end - length, start + end))
+        return pd.DataFrame(out, columns=["key", "o", "start", "end"])
 
-    parts = docs.join(wanted, "key").mapInArrow(passages, "bucket int, key long, o long, start int, words binary")
-    edges = parts.groupBy("bucket").applyInPandas(match, "key long, start long, end long")
-    flagged = found.where("not alone").select("key", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("more") + length).cast("long").alias("end"))
-    return flagged.union(edges).groupBy("key").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
+    parts = docs.join(wanted, ["key", "o"]).mapInArrow(passages, "bucket int, key long, o long, start int, words binary")
+    edges = parts.groupBy("bucket").applyInPandas(match, "key long, o long, start long, end long")
+    flagged = found.where("not alone").select("key", "o", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("more") + length).cast("long").alias("end"))
+    return flagged.union(edges).groupBy("key", "o").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
 
 
 def remove_repeats(documents: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and the kept text if asked."""
-    o = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    docs = documents.select(row_key().alias("key"), "doc_id", o.alias("o"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = docs.join(repeated_spans(docs, length), "key", "left").select("doc_id", "text", "spans")
+    docs = documents.select(row_key().alias("key"), row_order().alias("o"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    joined = docs.join(repeated_spans(docs, length), ["key", "o"], "left").select("doc_id", "text", "spans")
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 

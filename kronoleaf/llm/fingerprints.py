@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import buckets, ready
+from .common import buckets, ready, row_order
 from .textkit import CHUNK_BYTES, flat, mix, shingles, word_hashes
 
 BINS, LOW = 256, 8
@@ -80,7 +80,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     n = buckets(spark)
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__o"))
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_order().alias("__o"))
     cuts = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("__o", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
 
     def ranged(lo: int, hi: int) -> Column:

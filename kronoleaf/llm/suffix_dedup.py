@@ -12,8 +12,9 @@ classed in the same way, and windows equal on both sides are repeats.
 
 Defined cases: null is empty; texts shorter than `length` bytes lose nothing; rows
 that repeat (same doc_id and text) are copies of one another; doc_ids may be null
-or repeat; an empty table gives an empty result; extra columns are ignored. Rows
-are told apart by a 64-bit hash of doc_id and text.
+or repeat; an empty table gives an empty result; extra columns are ignored; a very
+long text is anchored alone, in one pass. Rows are told apart by doc_id and a
+64-bit hash of doc_id and text.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .anchors import packed, records, repeats
-from .common import buckets, ready, row_key
+from .anchors import bucket_count, packed, records, repeats
+from .common import ready, row_key, row_order
 from .textkit import chunks, flat
 
 GRAM = 80
@@ -136,36 +137,31 @@ def equal_windows(right_order: np.ndarray, right_shared: np.ndarray, left_order:
 
 def keyed(documents: DataFrame) -> DataFrame:
     """The columns that both joins on texts read, so that Spark shuffles them once."""
-    return documents.select(row_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return documents.select(row_key().alias("key"), row_order().alias("o"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(key, spans): byte ranges [start, end) of repeats, packed as start * 2^32 + end; docs is `keyed`."""
-    spark = docs.sparkSession
-    ready(spark)
-    n = buckets(spark)
+    """(key, o, spans): byte ranges [start, end) of repeats, packed as start * 2^32 + end; docs is `keyed`."""
+    ready(docs.sparkSession)
+    n = bucket_count(docs)
     gram = min(GRAM, max(1, length * 2 // 5))
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for part in chunks(batch):
-                keys = np.asarray(part.column("key"))
-                parts.append(records(*flat(part.column("text")), keys, np.zeros(len(keys), np.int64), length, gram))
-            yield from packed(parts, n)
+        parts = (part for batch in batches for part in chunks(batch))
+        yield from packed((records(*flat(part.column("text")), np.asarray(part.column("key")), np.asarray(part.column("o")), length, gram) for part in parts), n, False)
 
-    found = repeats(docs.select("key", "text").mapInArrow(anchor, "bucket int, packed binary"), False).checkpoint()
-    wanted = found.where("open").groupBy("key").agg(F.collect_list(F.struct("start", "lead", "more", "alone", "bucket")).alias("wanted"))
+    found = repeats(docs.select("key", "o", "text").mapInArrow(anchor, "bucket int, packed binary"), False).checkpoint()
+    wanted = found.where("open").groupBy("key", "o").agg(F.collect_list(F.struct("start", "lead", "more", "alone", "bucket")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted, front-coded runs of open suffixes with their left contexts."""
         for batch in batches:
             rows: dict[int, list] = {}
-            for key, text, wanted in zip(batch.column("key"), batch.column("text"), batch.column("wanted"), strict=True):
-                key, raw = key.as_py(), text.as_py().encode()
+            for key, o, text, wanted in zip(*(batch.column(c) for c in ("key", "o", "text", "wanted")), strict=True):
+                key, o, raw = key.as_py(), o.as_py(), text.as_py().encode()
                 for w in wanted.as_py():
                     a = w["start"] + w["lead"]
-                    rows.setdefault(w["bucket"], []).append((raw[a : w["start"] + w["more"] + length], raw[w["start"] : a], key, w["start"], w["lead"], w["more"], w["alone"]))
+                    rows.setdefault(w["bucket"], []).append((raw[a : w["start"] + w["more"] + length], raw[w["start"] : a], key, w["start"], w["lead"], w["more"], w["alone"], o))
             buckets_, blobs = [], {c: [] for c in ("shared", "rest_n", "rest", "left", "meta")}
             for bucket, some in rows.items():
                 some.sort(key=lambda r: r[0])
@@ -184,7 +180,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             ends = np.cumsum(np.frombuffer(rest_n, "<u2").astype(np.int64))
             starts = np.concatenate([[0], ends[:-1]])
             runs.append((np.frombuffer(shared, "<u2"), [rest[s:e] for s, e in zip(starts, ends, strict=True)]))
-            metas.append(np.frombuffer(meta, "<i8").reshape(-1, 5))
+            metas.append(np.frombuffer(meta, "<i8").reshape(-1, 6))
             ends = np.cumsum(metas[-1][:, 2])
             lefts += [left[s:e][::-1] for s, e in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
         first = np.cumsum([0, *(len(m) for m in metas)])
@@ -210,18 +206,18 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         new[1:] = (hits[1:, 0] != hits[:-1, 0]) | (at[1:] != at[:-1] + 1)
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(hits)) - 1 if len(hits) else head
-        return pd.DataFrame({"key": meta[hits[head, 0], 0], "start": at[head], "end": at[tail] + length})
+        return pd.DataFrame({"key": meta[hits[head, 0], 0], "o": meta[hits[head, 0], 5], "start": at[head], "end": at[tail] + length})
 
-    runs = docs.join(wanted, "key").mapInArrow(run, "bucket int, shared binary, rest_n binary, rest binary, left binary, meta binary")
-    edges = runs.groupBy("bucket").applyInPandas(merge, "key long, start long, end long")
-    flagged = found.where("not alone").select("key", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("more") + length).cast("long").alias("end"))
-    return flagged.union(edges).groupBy("key").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
+    runs = docs.join(wanted, ["key", "o"]).mapInArrow(run, "bucket int, shared binary, rest_n binary, rest binary, left binary, meta binary")
+    edges = runs.groupBy("bucket").applyInPandas(merge, "key long, o long, start long, end long")
+    flagged = found.where("not alone").select("key", "o", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("more") + length).cast("long").alias("end"))
+    return flagged.union(edges).groupBy("key", "o").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked."""
     docs = keyed(documents)
-    joined = docs.join(repeated_spans(docs, length), "key", "left").select("doc_id", "text", "spans")
+    joined = docs.join(repeated_spans(docs, length), ["key", "o"], "left").select("doc_id", "text", "spans")
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
