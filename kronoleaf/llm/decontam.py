@@ -18,14 +18,15 @@ the slice around them.
 Defined cases: null has no words; items without words have no window; repeated
 doc_ids count as one document in `hits`; repeated items and windows count once;
 null doc_ids hit like any other; items with a null item_id hit too, but are not
-among a document's `items`, which may so be empty; only item_id, doc_id and text are read.
+among a document's `items`, which may so be empty; a very long text is exploded to its
+words row by row; empty tables give no hits; only item_id, doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, row_key
+from .common import ascii_lower, ready, row_key, row_order
 
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -47,54 +48,56 @@ def word_array(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(window, items): the distinct windows and the ids of the items that hold them."""
+    """(item, id, window): the distinct windows of each item; id is a digest of the window."""
     words = benchmark.select(F.col("item_id").alias("item"), word_array(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     at = words.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), F.lit(size)).alias("window"))
-    return at.distinct().groupBy("window").agg(F.collect_list("item").alias("items"))
+    return at.select("item", F.md5(F.array_join("window", " ")).alias("id"), "window").distinct()
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
-    """(key, at, n, items): every occurrence of a window, by row key and word position from 1."""
-    spark = documents.sparkSession
-    windows = item_windows(benchmark, size).withColumn("id", F.xxhash64("window")).checkpoint()
+def hits(documents: DataFrame, held: DataFrame, size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
+    """(o, key, at, n, id): every occurrence of a window of `held`, by row and word position from 1."""
+    windows = held.select("id", "window").dropDuplicates(["id"]).checkpoint()
     small = windows.count() <= broadcast_windows
     hint = F.broadcast if small else lambda df: df
     vocabulary = windows.select(F.explode("window").alias("word")).select(F.lower("word").alias("word")).distinct()
-    texts = documents.select(row_key().alias("key"), pieces(F.col("text")).alias("w"))
+    texts = documents.select(row_order().alias("o"), row_key().alias("key"), pieces(F.col("text")).alias("w"))
     counts = documents.select(F.explode(pieces(F.lower("text"))).alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     ranked = vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     placed = windows.select("id", F.posexplode("window").alias("off", "word")).withColumn("word", F.lower("word")).join(ranked, "word")
     rarest = placed.groupBy("id").agg(F.min(F.struct("n", "word", "off")).alias("r"))
-    prefixes = windows.join(rarest, "id").select(F.col("r.word").alias("word"), F.col("r.off").alias("off"), F.array_join("window", " ").alias("window"), "items", F.size("window").alias("n"))
+    prefixes = windows.join(rarest, "id").select(F.col("r.word").alias("word"), F.col("r.off").alias("off"), F.array_join("window", " ").alias("window"), "id", F.size("window").alias("n"))
     prefixes = prefixes.checkpoint()
-    spread = texts.select("key", "w", F.posexplode("w").alias("p", "word")).withColumn("word", F.lower("word"))
+    spread = texts.select("o", "key", "w", F.posexplode("w").alias("p", "word")).withColumn("word", F.lower("word"))
     if small:
         d, q = spread.alias("d"), F.broadcast(prefixes).alias("q")
         start = F.col("d.p") - F.col("q.off")
         fits = (start >= 0) & (start + F.col("q.n") <= F.size("d.w"))
         same = ascii_lower(F.array_join(F.slice("d.w", F.when(fits, start + 1).otherwise(1), F.col("q.n")), " ")) == F.col("q.window")
-        return d.join(q, (F.col("d.word") == F.col("q.word")) & fits & same).select("d.key", (start + 1).alias("at"), F.col("q.n").alias("n"), "q.items")
+        return d.join(q, (F.col("d.word") == F.col("q.word")) & fits & same).select("d.o", "d.key", (start + 1).alias("at"), F.col("q.n").alias("n"), "q.id")
     wanted = prefixes.select("word").distinct()
     near = F.slice("w", F.greatest(F.col("p") - size + 2, F.lit(1)), F.lit(2 * size - 1))
-    d = spread.join(wanted, "word", "left_semi").select("key", "word", "p", near.alias("near"), F.least(F.col("p"), F.lit(size - 1)).alias("left")).alias("d")
+    d = spread.join(wanted, "word", "left_semi").select("o", "key", "word", "p", near.alias("near"), F.least(F.col("p"), F.lit(size - 1)).alias("left")).alias("d")
     q = prefixes.alias("q")
     start = F.col("d.left") - F.col("q.off")
     fits = (start >= 0) & (start + F.col("q.n") <= F.size("d.near"))
     same = ascii_lower(F.array_join(F.slice("d.near", F.when(fits, start + 1).otherwise(1), F.col("q.n")), " ")) == F.col("q.window")
-    return d.join(q, (F.col("d.word") == F.col("q.word")) & fits & same).select("d.key", (F.col("d.p") - F.col("q.off") + 1).alias("at"), F.col("q.n").alias("n"), "q.items")
+    return d.join(q, (F.col("d.word") == F.col("q.word")) & fits & same).select("d.o", "d.key", (F.col("d.p") - F.col("q.off") + 1).alias("at"), F.col("q.n").alias("n"), "q.id")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
-    """(key, n_hit, items) of documents with a hit; key is `row_key()`.
+    """(o, key, n_hit, items) of documents with a hit; o is `row_order()` and key `row_key()`.
 
-    Occurrences of a document are merged as intervals, so a long document's hits
-    are gathered as one row each at most per occurrence and never expanded.
+    Occurrences are written once. A document's are merged as intervals, so a long
+    document's hits are never expanded to words; items meet distinct windows only.
     """
-    found = hits(documents, benchmark, size, broadcast_windows).distinct()
-    order = Window.partitionBy("key").orderBy("at", "n")
+    ready(documents.sparkSession)
+    held = item_windows(benchmark, size).checkpoint()
+    found = hits(documents, held, size, broadcast_windows).distinct().checkpoint()
+    order = Window.partitionBy("o", "key").orderBy("at", "n")
     reach = F.max(F.col("at") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.col("at") + F.col("n") - F.greatest(F.col("at"), F.coalesce(reach, F.lit(0))), F.lit(0))
-    covered = found.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
-    items = found.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    return covered.join(items, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    covered = found.withColumn("fresh", fresh).groupBy("o", "key").agg(F.sum("fresh").alias("n_hit"))
+    met = found.select("o", "key", "id").distinct().join(held.where("item is not null").select("id", F.col("item").cast("string").alias("item")), "id")
+    items = met.groupBy("o", "key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return covered.join(items, ["o", "key"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
