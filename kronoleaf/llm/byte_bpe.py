@@ -7,8 +7,11 @@ table of pairs, and rows are compacted. Pieces over `LONG` bytes take a heap
 instead, with the same merges, so that one huge run costs n log n. The cache of
 pieces in a worker is bounded.
 
-Defined cases: null is the empty text, which has no ids; ids, rows and extra
-columns may repeat; any text decodes to its own bytes.
+Defined cases: null is the empty text, which has no ids; ids and rows may repeat;
+an empty table gives none; extra columns are ignored unless kept, and may be named
+like the operator's own; a very long text is one row like any other; equal ranks
+are merged from the left; any text decodes to its own bytes. Ranks that lack one of the
+256 single bytes are refused.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from .common import numbered
 
 LONG = 512
 _CACHE = 400_000
@@ -50,7 +56,7 @@ class Merger:
             for i in range(1, len(t)):
                 a, b = self.ranks.get(t[:i]), self.ranks.get(t[i:])
                 if a is not None and b is not None:
-                    pairs[a << 20 | b] = rank
+                    pairs[a << 32 | b] = rank
         self.pairs = pairs
         self._table(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
 
@@ -76,7 +82,7 @@ class Merger:
         """Rank of each pair, or a number above all ranks."""
         out = np.full(a.shape, _NONE, np.int64)
         where = np.flatnonzero((a >= 0) & (b >= 0))
-        keys = (a.ravel()[where] << 20) | b.ravel()[where]
+        keys = (a.ravel()[where] << 32) | b.ravel()[where]
         at, flat = self._slot(keys), out.ravel()
         for _ in range(self.probes):
             have = self.keys[at]
@@ -125,7 +131,7 @@ class Merger:
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -137,7 +143,7 @@ class Merger:
                 before[after[i]] = i
             for left in (before[i], i):
                 right = after[left] if left >= 0 else n
-                if right < n and (r := self.pairs.get(ids[left] << 20 | ids[right])) is not None:
+                if right < n and (r := self.pairs.get(ids[left] << 32 | ids[right])) is not None:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return np.array([x for x in ids if x >= 0], np.int64)
 
@@ -159,23 +165,36 @@ class Merger:
         return out
 
 
-_mergers: dict[int, Merger] = {}
+_mergers: dict[bytes, Merger] = {}
+
+
+def _merger(tokens: list[bytes]) -> Merger:
+    """The worker's merger for these tokens, kept by a digest of all of them."""
+    digest = hashlib.sha256(b"".join(len(t).to_bytes(4, "little") + t for t in tokens)).digest()
+    return _mergers.get(digest) or _mergers.setdefault(digest, Merger(tokens))
 
 
 def encode(documents: DataFrame, path: str, pattern: str, keep: list[str], with_ids: bool = False) -> DataFrame:
-    """The columns `keep`, n_tokens, ids_sha256, decoded_sha256, and the ids if asked."""
-    docs = documents.select(*keep, F.col("text").alias("__text"))
-    shared = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text") + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    """The columns `keep`, n_tokens, ids_sha256, decoded_sha256, and the ids if asked; what is kept must not be named like these."""
+    kept = documents.select(*keep)
+    _, back = numbered(kept)
+    docs = documents.select(*keep, "text").toDF(*[f"c{i}" for i in range(len(keep))], "text")
+    tokens = read_ranks(path)
+    if not {bytes([i]) for i in range(256)} <= set(tokens):
+        raise ValueError("the ranks lack single bytes, so some texts have no encoding")
+    shared = documents.sparkSession.sparkContext.broadcast(tokens)
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())] + [StructField("ids", ArrayType(IntegerType()))] * with_ids
+    own = [f for f in docs.schema if f.name != "text"]
+    schema = StructType([*own, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
-        merger = _mergers.get(len(tokens)) or _mergers.setdefault(len(tokens), Merger(tokens))
+        merger = _merger(tokens)
         split, cache = regex.compile(pattern).findall, {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [split(t) if (t := x.as_py()) else [] for x in batch.column("__text")]
+                texts = [split(t) if (t := x.as_py()) else [] for x in batch.column("text")]
                 new = list(set().union(*texts).difference(cache))
                 if len(cache) + len(new) > _CACHE:
                     cache.clear()
@@ -185,15 +204,13 @@ def encode(documents: DataFrame, path: str, pattern: str, keep: list[str], with_
                 encoded = [b"".join(map(cache.__getitem__, pieces)) for pieces in texts]
                 ids = [np.frombuffer(e, "<u4") for e in encoded]
                 columns = [
-                    *(batch.column(c) for c in keep),
+                    *(batch.column(f.name) for f in own),
                     pa.array([len(i) for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(e).hexdigest() for e in encoded], pa.string()),
                     pa.array([hashlib.sha256(b"".join(map(tokens.__getitem__, i.tolist()))).hexdigest() for i in ids], pa.string()),
                 ]
-                names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     columns.append(pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).select(*back(), *[f.name for f in fields])

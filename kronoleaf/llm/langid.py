@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import buckets
+from .common import buckets, numbered
 
 _LETTERS = regex.compile(r"\p{L}+")
 _CACHE = 300_000
@@ -131,16 +132,18 @@ def word_scores(word: str, model: dict) -> np.ndarray:
 
 def predict(documents: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """The columns `keep`, lang_pred and score, from whole texts in one map."""
-    docs = documents.select(*keep, F.col("text").alias("__text"))
+    _, back = numbered(documents.select(*keep))
+    docs = documents.select(*keep, "text").toDF(*[f"c{i}" for i in range(len(keep))], "text")
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text") + ", lang_pred string, score double"
+    own = [f for f in docs.schema if f.name != "text"]
+    schema = StructType([*own, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs, ids, table = model["langs"], {}, np.zeros((1024, len(model["langs"])), np.float32)
         for batch in batches:
             names, scores = [], []
-            for text in batch.column("__text"):
+            for text in batch.column("text"):
                 text = text.as_py()
                 words = _words(text) if text and langs else []
                 if not words:
@@ -158,6 +161,6 @@ def predict(documents: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                 best = int(total.argmax())
                 names.append(langs[best])
                 scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).select(*back(), "lang_pred", "score")

@@ -8,8 +8,11 @@ updates over its share and the weights are averaged. Scoring is a sparse dot
 product over whole texts in one map over the documents, without a shuffle.
 
 Defined cases: null and empty texts score by the bias alone; without labelled
-rows every score is 0.5; rows repeated in either table count as they stand; extra
-columns are ignored.
+rows every score is 0.5; rows repeated in either table count as they stand, and
+labels whose id has several documents count once for each; a very long text is one
+sparse row like any other; equal id hashes are chosen by label; empty tables score
+nothing; extra columns are kept, whatever their names, but that `score` replaces
+those named as its own two.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .common import numbered
 from .textkit import Rolling, chunks, flat, mix, row_of
 
 _CLASS = np.full(256, 2, np.uint8)
@@ -104,13 +109,14 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = 6000, shards
     return weights, bias
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
-    """All columns of `documents` but those it replaces, with `score` and `predicted`."""
+def _scored(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float) -> tuple[DataFrame, list]:
+    """`documents` under names of their own with `score` and `predicted`, and their columns by name."""
     weights, bias = model
     bits = len(weights).bit_length() - 1
     shared = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    kept = documents.drop("score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int"
+    others, back = numbered(documents, "text")
+    docs = documents.select(*others, F.col("text").cast("string").alias("text"))
+    schema = StructType([*docs.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -119,4 +125,17 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], threshold: floa
                 p = 1 / (1 + np.exp(-np.clip(dots(*flat(part.column("text")), w, bits) + bias, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    return kept.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), back("text")
+
+
+def score(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
+    """All columns of `documents` but those named score or predicted, with the model's `score` and `predicted`."""
+    scored, columns = _scored(documents, model, threshold)
+    kept = [c for c, name in zip(columns, documents.columns, strict=True) if name.lower() not in ("score", "predicted")]
+    return scored.select(*kept, "score", "predicted")
+
+
+def accepted(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
+    """The rows of `documents`, with all their own columns, whose score reaches the threshold."""
+    scored, columns = _scored(documents, model, threshold)
+    return scored.where("predicted = 1").select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import automaton_dedup, byte_bpe, decontam, fingerprints, langid, line_dedup, near_dup, quality, secrets, suffix_dedup
-from .common import ready, row_key, table
+from .common import ready, row_key, row_order, table
 
 
 def _own_split() -> Column:
@@ -46,8 +46,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.drop_repeated_lines(docs)
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = line_dedup.drop_repeated_lines(docs, counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready(spark)
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontam.contamination(docs, benchmark)
-    all_docs = docs.select(row_key().alias("key"), "doc_id", decontam.word_count(F.col("text")).alias("n_words"))
-    return all_docs.join(found, "key", "left").select(
+    all_docs = docs.select(row_order().alias("o"), row_key().alias("key"), "doc_id", decontam.word_count(F.col("text")).alias("n_words"))
+    return all_docs.join(found, ["o", "key"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
