@@ -159,7 +159,7 @@ def test_language_of_long_run(spark):
 
 
 def test_line_dedup(docs, empty):
-    out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs, bits=line_dedup.SEGMENT_BITS).collect()}
+    out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs, counts=("__lines", "__dropped")).collect()}
     assert (out[10].text, out[11].text, out[12].text) == ("own ten", "own eleven", "a repeated line that is long")
     assert (out[10]["__lines"], out[10]["__dropped"], out[0]["__lines"], out[2]["__dropped"]) == (2, 1, 1, 0)
     assert line_dedup.drop_repeated_lines(empty).count() == 0
