@@ -8,6 +8,8 @@ and `nation` are people and places, `labels` are sparse review overrides of
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import text as T
 from ..functions.timeutil import day, month
 from ..operators import checks, entities, evidence, geo, rollups, sessions, vectors
+from . import domain
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -25,24 +28,35 @@ TERMS = ["tion", "secret", "password"]
 def query(sql: str | None = None):
     def add(f):
         def run(spark, sf_dir):
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            load = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            return f(lambda name: domain.table(load, name) if name in domain.TABLES else load(name))
 
+        run.module = f.__module__
         _QUERIES[f.__name__] = run
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = domain.with_tables(sql)
         return f
 
     return add
 
 
 def queries():
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    _load()
     return dict(_SQL)
 
 
+def _load() -> None:
+    """Register the queries of the other modules, which use `query`."""
+    for name in ("searches", "links", "statistics", "construction", "rankings", "clusterings", "scalars", "upkeep"):
+        if importlib.util.find_spec(f"{__package__}.{name}"):
+            importlib.import_module(f"{__package__}.{name}")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["representative_days"](spark, sf_dir)
 
