@@ -16,8 +16,29 @@ def valid(lat: str, lon: str) -> Column:
     return F.coalesce(number(lat).between(-90, 90) & number(lon).between(-180, 180), F.lit(False))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A double as text with so many decimals, rounded by its exact binary value, halves to even.
+
+    The product with the power of ten is taken with its rounding error (by a split of
+    the double), which tells the side of an apparent tie.
+    """
+    power = float(10**digits)
+    x = F.abs(value)
+    big = x * 134_217_729.0
+    high = big - (big - x)
+    product = x * power
+    error = (high * power - product) + (x - high) * power
+    whole = F.floor(product)
+    half = product - whole
+    up = (half > 0.5) | ((half == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = whole + up.cast("long")
+    text = F.concat(F.floor(n / int(power)).cast("string"), F.lit("."), F.lpad((n % int(power)).cast("string"), digits, "0"))
+    return F.concat(F.when((value < 0) & (n > 0), "-").otherwise(""), text)
+
+
 def coarse(lat: Column, lon: Column) -> Column:
-    return F.format_string("%.4f,%.4f", lat, lon)
+    """A cell of four decimals."""
+    return F.concat_ws(",", fixed(lat, 4), fixed(lon, 4))
 
 
 def nearest_within(points: DataFrame, point_id: str, places: DataFrame, place_id: str, cell_degrees: float) -> DataFrame:
