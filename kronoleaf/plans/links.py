@@ -279,3 +279,34 @@ def timeline(t):
     a = t("messages").select(F.col("sent_at").alias("seen_at"), F.lit("line").alias("kind"), "id")
     b = t("media").select(F.coalesce("captured_at", "fallback_captured_at").alias("seen_at"), F.lit("photo").alias("kind"), "id")
     return a.unionByName(b).orderBy("seen_at", "kind", "id").limit(500)
+
+
+def _export(t):
+    """Messages as lines of exports, one file a chat: a date line a day, then the day's messages."""
+    m = t("messages").where("text <> ''").withColumn("day", F.substring("sent_at", 1, 10))
+    clock = F.concat(F.substring("sent_at", 12, 2).cast("int").cast("string"), F.substring("sent_at", 14, 3))
+    said = m.select("chat_id", "day", F.lit(1).alias("k"), "sent_at", "id", F.concat_ws("\t", clock, "sender", "text").alias("line"))
+    heads = m.select("chat_id", "day").distinct().select("chat_id", "day", F.lit(0).alias("k"), F.lit("").alias("sent_at"), F.lit("").alias("id"), F.concat(F.regexp_replace("day", "-", "/"), F.lit("(Day)")).alias("line"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("chat_id").orderBy("day", "k", "sent_at", "id")
+    return said.union(heads).select(F.concat(F.lit("/data/"), "chat_id", F.lit(".txt")).alias("source_file"), F.row_number().over(w).alias("line_number"), "line")
+
+
+_TYPE = "CASE WHEN contains(text,'不在着信') THEN 'system' ELSE 'text' END"
+
+
+@query(f"SELECT 'line_'||substr(sha256(chat_id),1,16) AS chat_id, 'line_msg_'||sha256(concat_ws(chr(31), chat_id||'.txt', replace(substr(sent_at,1,16),' ','T')||':00+09:00', sender, text)) AS id, replace(substr(sent_at,1,16),' ','T')||':00' AS sent, sender, text, {_TYPE} AS message_type FROM messages WHERE text <> ''")
+def chat_export_parsed(t):
+    """Messages written as exports and parsed again."""
+    from ..sources import chat
+
+    return chat.parse(_export(t)).select("chat_id", "id", F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ss").alias("sent"), "sender", "text", "message_type")
+
+
+@query(f"SELECT id AS message_id, call_status, cast(duration_sec AS integer) AS duration_sec FROM ({_CALLS}) WHERE call_status='completed' AND duration_sec>=600 AND substr(sent_at,1,10) BETWEEN '2024-01-03' AND '2024-01-28' ORDER BY duration_sec DESC, sent_at, id LIMIT 50")
+def call_search(t):
+    from ..sources import chat
+
+    index = chat.call_index(t("messages"), "☎", {"不在着信": "missed", "応答がありませんでした": "unanswered", "キャンセル": "canceled"})
+    return chat.search_calls(index, status="completed", least_sec=600, date_from="2024-01-03", date_to="2024-01-28").select("message_id", "call_status", "duration_sec")
