@@ -38,16 +38,6 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(str([r[c] for c in order]) for r in rows) == sorted(str([r[i] for i in at]) for r in want.fetchall())
 
 
-def test_chat_export(spark, tmp_path):
-    text = "﻿stray\n2025/1/2(Thu)\n9:05\tAnn\thello\nsecond line\n10:00\tBob\t[Photo]\n10:01\t\tjoined\n2025/13/40\n"
-    (tmp_path / "a.txt").write_text(text)
-    lines = chat.read_lines(spark, str(tmp_path))
-    rows = {r.line_number: r for r in chat.parse(lines, {"[Photo]": "photo"}).collect()}
-    assert rows[3].text == "hello\nsecond line" and rows[3].sent_at == datetime(2025, 1, 2, 9, 5)
-    assert rows[5].message_type == "photo" and rows[6].message_type == "system"
-    assert [r.line_number for r in chat.warnings(lines).collect()] == [1]
-
-
 def test_calls(spark):
     df = spark.createDataFrame([("m1", "call 10:38"), ("m2", "call 1:26:14"), ("m3", "call missed"), ("m4", "hi")], "id string, text string")
     rows = chat.calls(df, "call", {"missed": "missed"}).collect()
