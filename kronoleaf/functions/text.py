@@ -6,8 +6,13 @@ from pyspark.sql import Column, functions as F
 
 
 def any_term(columns: list[str], terms: list[str]) -> Column:
-    """Whether any column holds any term, whatever its case."""
-    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(t.lower())), F.lit(False)) for c in columns for t in terms])
+    """Whether any column holds any term, whatever its case. Each column is lower-cased once, however many terms there are."""
+
+    def held(column: str) -> Column:
+        tests = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(t.lower())) for t in terms])
+        return F.coalesce(F.exists(F.array(F.lower(column)), tests), F.lit(False))
+
+    return reduce(lambda a, b: a | b, [held(c) for c in columns])
 
 
 def matched_fields(columns: list[str], terms: list[str]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..functions.timeutil import day, month
-from ..operators import checks, entities, evidence, geo, rollups, sessions, vectors
+from ..operators import checks, entities, evidence, geo, integrity, rollups, sessions, vectors
 from . import domain
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,16 +313,21 @@ def speaker_listing(t):
 
 
 def _checked(t):
-    return checks.report([
-        checks.orphans(t("lineitem"), t("orders"), "l_orderkey", "o_orderkey", "lineitem_without_order"),
-        checks.orphans(t("labels").select(F.col("doc_id").alias("k")), t("documents"), "k", "doc_id", "label_without_document"),
-        checks.duplicates(t("lineitem"), ["l_orderkey", "l_linenumber"], "lineitem_repeated_key"),
-        checks.duplicates(t("documents"), ["text"], "documents_repeated_text"),
-        checks.outside(t("events"), "event_type", TYPES, "event_type_unknown"),
-        checks.out_of_range(t("lineitem"), "l_discount", 0, 1, "discount_out_of_range"),
-        checks.bad_json(t("events"), "props", "props_not_json"),
-        checks.metric(t("embeddings"), "embedding_bad_dimension", F.size("embedding") != 64),
-    ])
+    """Each table is read once for all its conditions; repeated texts are found by their digests, so no text is shuffled."""
+    digests = lambda name: t(name).withColumn("digest", F.sha2("text", 256)) if name == "documents" else t(name)
+    kinds = ", ".join(f"'{k}'" for k in TYPES)
+    named = {
+        "lineitem.orphan": "lineitem_without_order", "labels.orphan": "label_without_document", "lineitem.repeated": "lineitem_repeated_key", "documents.repeated": "documents_repeated_text",
+        "events.type": "event_type_unknown", "lineitem.discount": "discount_out_of_range", "events.props": "props_not_json", "embeddings.size": "embedding_bad_dimension",
+    }
+    rules = [
+        integrity.Orphan("lineitem", "orphan", "l_orderkey", "orders", "o_orderkey"), integrity.Orphan("labels", "orphan", "doc_id", "documents", "doc_id"),
+        integrity.Repeat("lineitem", "repeated", ("l_orderkey", "l_linenumber")), integrity.Repeat("documents", "repeated", ("digest",)),
+        integrity.Count("events", "type", f"event_type is null or event_type not in ({kinds})"), integrity.Count("lineitem", "discount", "not l_discount between 0 and 1"),
+        integrity.Count("events", "props", "props is not null and try_parse_json(props) is null"), integrity.Count("embeddings", "size", "size(embedding) <> 64"),
+    ]
+    name = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    return integrity.report(digests, rules).select(name[F.col("metric")].alias("metric"), "n")
 
 
 _CHECKS = """SELECT 'lineitem_without_order' AS metric, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
