@@ -251,9 +251,10 @@ def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float =
     by_root = open_.groupBy("pivot", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     largest = F.max(F.struct("c", "n", "root"))
     parts = by_root.groupBy("pivot").agg(largest.alias("big"), F.sum("c").alias("c"), F.sum("n").alias("n"))
-    # Blocks are bounded in rows, and in shingles by a thousand a row on average.
+    # Blocks are bounded in rows, and in shingles by a thousand a row on average. They are
+    # written before the join, which so can split a hot pivot's rows.
     in_blocks = lambda c, n, most: F.greatest(F.lit(1), F.ceil(F.greatest(c / most, n / (1000 * most)))).cast("int")
-    parts = parts.select("pivot", F.col("big.root").alias("big"), in_blocks(F.col("c") - F.col("big.c"), F.col("n") - F.col("big.n"), block[0]).alias("nx"), in_blocks(F.col("c"), F.col("n"), block[1]).alias("ny"))
+    parts = parts.select("pivot", F.col("big.root").alias("big"), in_blocks(F.col("c") - F.col("big.c"), F.col("n") - F.col("big.n"), block[0]).alias("nx"), in_blocks(F.col("c"), F.col("n"), block[1]).alias("ny")).checkpoint()
     dealt = open_.join(parts, "pivot").select("pivot", "node", "root", (F.col("root") != F.col("big")).alias("few"), "nx", "ny")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     one = dealt.where("few").select("pivot", "node", "root", "few", F.lit(0).alias("side"), F.expr("cast(pmod(xxhash64(node), nx) as int)").alias("x"), every("ny").alias("y"))
