@@ -42,7 +42,3 @@ def redact(text: Column) -> Column:
 def overlay(override: Column, base: Column) -> Column:
     """An override that is not empty wins."""
     return F.coalesce(F.when(override != "", override), base)
-
-
-def label(score: Column, high: float = 0.75, middle: float = 0.45) -> Column:
-    return F.when(score >= high, "high").when(score >= middle, "middle").otherwise("low")

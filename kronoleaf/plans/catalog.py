@@ -52,7 +52,7 @@ def oracle_sql():
 
 def _load() -> None:
     """Register the queries of the other modules, which use `query`."""
-    for name in ("searches", "links", "statistics", "construction", "rankings", "clusterings", "scalars", "upkeep"):
+    for name in ("searches", "links", "statistics", "construction", "rankings", "clusterings", "scalars", "upkeep", "evaluations", "scanning"):
         if importlib.util.find_spec(f"{__package__}.{name}"):
             importlib.import_module(f"{__package__}.{name}")
 
@@ -357,10 +357,10 @@ def snapshot_diff(t):
     return checks.diff(o.where("o_orderkey % 3 <> 0"), after, "o_orderkey", ["o_orderstatus"])
 
 
-@query("SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id<20 AND v.vec_id<>q.vec_id) WHERE rank<=5")
+@query("SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id%20=0 AND v.vec_id<>q.vec_id) WHERE rank<=5")
 def cosine_topk(t):
     v = t("embeddings")
-    return vectors.cosine_top(v, v.where("vec_id < 20"), "vec_id", "embedding", 5).select("query_id", "vec_id", "rank")
+    return vectors.cosine_top(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 5).select("query_id", "vec_id", "rank")
 
 
 @query("SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id%20=0 AND v.vec_id<>q.vec_id) WHERE rank<=5")

@@ -24,11 +24,12 @@ def texts_to_embed(t):
     return cl.unhashed(m, existing, ["id"], "text", "a").select("id", "content_hash")
 
 
-@query("SELECT vec_id, embedding FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS n, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings")
 def vector_bytes(t):
     """Vectors written as bytes and read again."""
     rows = t("embeddings").select("vec_id", F.size("embedding").alias("d"), cl.encoded(F.col("embedding")).alias("b"))
-    return rows.select("vec_id", cl.decoded(F.col("b"), F.col("d")).alias("embedding"))
+    read = rows.select("vec_id", cl.decoded(F.col("b"), F.col("d")).alias("v"))
+    return read.select("vec_id", F.size("v").cast("long").alias("n"), F.get("v", F.lit(0)).cast("double").alias("first"), F.get("v", F.lit(63)).cast("double").alias("last"))
 
 
 @query("SELECT media_id, max(greatest(0::double, least(1::double, cast(embedding[1] AS double)*4))) AS score FROM media_vectors WHERE status='success' GROUP BY 1")

@@ -313,3 +313,22 @@ def test_streams(spark, tmp_path):
     rebuild = lambda dates: rows.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).join(dates, "date", "left_semi").groupBy("date").agg(F.count("*").alias("n"))
     windows.rebuild_dates(stream(), "ts", rebuild, target, checkpoint).awaitTermination(120)
     assert sorted((str(r.date), r.n) for r in spark.read.parquet(target).collect()) == [("2024-12-31", 5), ("2025-01-01", 3), ("2025-01-02", 1)]
+
+
+def test_safety(spark):
+    from kronoleaf.functions import safety
+
+    texts = ["A HAPPY family definitely walks", "走った", "plain", None, "angry"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(safety.flags(F.col("t"))).collect()] == [["relationship_inference_removed", "emotion_inference_removed", "overclaim_softened", "sensitive_terms_removed", "forbidden_terms_removed"], [], [], [], ["emotion_inference_removed", "sensitive_terms_removed", "forbidden_terms_removed"]]
+    assert [r[0] for r in df.select(safety.cleaned(F.col("t"), 30)).collect()] == ["A walks", "走った", "plain", None, None]
+
+
+def test_questions(spark):
+    from kronoleaf.functions import dates, questions as qs
+
+    want = {"2024年1月5日に何してた？": "date_qa", "2024年1月は何してた": "monthly_summary", "最近のまとめ": "time_range_summary", "よく行った場所": "location_summary", "ラーメンの写真はいつ": "specific_food_search", "海っぽい写真": "multimodal_image_search", "写真が多い日": "photo_activity", "誰かと通話した": "call_activity", "ランチした日": "food_activity", "Annと会った": "person_interaction", "旅行の話": "topic_mention", "渋谷に行った": "place_visit", "思い出": "event_summary", "昨日": "date_qa", "": "unknown", "xyz": "unknown"}
+    df = spark.createDataFrame([(q,) for q in want], "q string")
+    r = dates.date_range(F.col("q"), F.lit("2025-05-15").cast("date"), 2024)
+    got = {x.q: (x.i, x.p, x.w) for x in df.select("q", qs.intent(F.col("q"), r).alias("i"), qs.place(F.col("q")).alias("p"), qs.person(F.col("q")).alias("w")).collect()}
+    assert {q: i for q, (i, _, _) in got.items()} == want and got["渋谷に行った"][1] == "渋谷" and got["Annと会った"][2] == "Ann"
