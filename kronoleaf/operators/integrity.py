@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 class Count(NamedTuple):
@@ -44,27 +44,40 @@ class Spread(NamedTuple):
     column: str
 
 
+def _one_row(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """(metric, n) rows from counts of one pass."""
+    at = {name: f"n{i}" for i, name in enumerate(counts)}
+    one = df.agg(*[c.alias(at[name]) for name, c in counts.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(at[name]).alias("n")) for name in counts])))
+
+
 def report(load: Callable[[str], DataFrame], rules: list) -> DataFrame:
-    """(metric, n). Conditions on one table are counted in one pass over it; parents are reduced to their keys
-    before the anti join; keys are grouped with partial counts. Long texts are never keys: their digests are."""
-    parts = []
-    tables = sorted({r.table for r in rules if isinstance(r, Count)})
-    for table in tables:
-        own = [r for r in rules if isinstance(r, Count) and r.table == table]
-        one = load(table).agg(*[F.count_if(F.expr(r.condition)).alias(r.metric) for r in own])
-        parts.append(one.select(F.inline(F.array(*[F.struct(F.lit(f"{table}.{r.metric}").alias("metric"), F.col(r.metric).alias("n")) for r in own]))))
-    for r in rules:
-        name = f"{r.table}.{r.metric}"
-        if isinstance(r, Orphan):
-            child = load(r.table).where(F.expr(r.condition) & F.col(r.key).isNotNull()).select(F.col(r.key).alias("k"))
-            parent = load(r.parent).select(F.col(r.parent_key).alias("k")).distinct()
-            parts.append(child.join(parent, "k", "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n"))
-        elif isinstance(r, Repeat):
-            groups = load(r.table).groupBy(*r.keys).agg(F.count("*").alias("c")).where("c > 1")
-            parts.append(groups.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n"))
-        elif isinstance(r, Spread):
-            value = F.coalesce(F.col(r.column).cast("string"), F.lit("null"))
-            parts.append(load(r.table).groupBy(F.concat(F.lit(f"{name}:"), value).alias("metric")).agg(F.count("*").alias("n")))
+    """(metric, n), by one pass of a table for each kind of rule.
+
+    Conditions are counted in one aggregate. Parents are reduced to their distinct keys and
+    joined one after the other; rows that found none are counted together. Repeated keys
+    and spreads are exploded to (metric, key) and grouped with partial counts. Long texts
+    are never keys: their digests are.
+    """
+    parts, load = [], cache(load)
+    for table in sorted({r.table for r in rules}):
+        of = lambda kind: [r for r in rules if isinstance(r, kind) and r.table == table]  # noqa: B023, E731
+        name = lambda r: f"{r.table}.{r.metric}"
+        if own := of(Count):
+            parts.append(_one_row(load(table), {name(r): F.count_if(F.expr(r.condition)) for r in own}))
+        if own := of(Orphan):
+            rows = load(table)
+            for i, r in enumerate(own):
+                parent = load(r.parent).select(F.col(r.parent_key).alias(f"k{i}")).distinct()
+                rows = rows.join(parent, F.col(r.key) == F.col(f"k{i}"), "left")
+            parts.append(_one_row(rows, {name(r): F.count_if(F.expr(r.condition) & F.col(r.key).isNotNull() & F.col(f"k{i}").isNull()) for i, r in enumerate(own)}))
+        if own := of(Repeat):
+            keys = F.explode(F.array(*[F.struct(F.lit(name(r)).alias("metric"), F.to_json(F.struct(*r.keys)).alias("key")) for r in own]))
+            groups = load(table).select(keys.alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("c"))
+            parts.append(_one_row(groups, {name(r): F.count_if((F.col("metric") == name(r)) & (F.col("c") > 1)) for r in own}))
+        if own := of(Spread):
+            values = F.explode(F.array(*[F.concat(F.lit(f"{name(r)}:"), F.coalesce(F.col(r.column).cast("string"), F.lit("null"))) for r in own]))
+            parts.append(load(table).select(values.alias("metric")).groupBy("metric").agg(F.count("*").alias("n")))
     return reduce(DataFrame.unionByName, parts)
 
 
