@@ -8,7 +8,8 @@ from ..operators import scans
 from .catalog import query
 from .links import _DATE
 
-_WHEN = F.coalesce("captured_at", "fallback_captured_at")
+def _when():
+    return F.coalesce("captured_at", "fallback_captured_at")
 
 
 @query("SELECT id, sender, text FROM messages WHERE substr(sent_at,1,10) >= '2024-01-04' AND substr(sent_at,1,10) <= '2024-01-09' AND chat_id IN ('chat_1','chat_2') AND message_type = 'text' ORDER BY sent_at, id LIMIT 100")
@@ -19,7 +20,7 @@ def message_scan(t):
 
 @query(f"SELECT id, {_DATE} AS date FROM media WHERE {_DATE} >= '2024-01-20' AND camera_model = 'Cam A'")
 def media_scan(t):
-    return scans.scan(t("media"), _WHEN, date_from="2024-01-20", camera_model="Cam A").select("id", F.substring(_WHEN, 1, 10).alias("date"))
+    return scans.scan(t("media"), _when(), date_from="2024-01-20", camera_model="Cam A").select("id", F.substring(_when(), 1, 10).alias("date"))
 
 
 @query("SELECT media_id, status FROM ocr WHERE status IN ('failed','engine_unavailable') AND substr(analyzed_at,1,10) <= '2024-01-15'")

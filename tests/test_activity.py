@@ -332,3 +332,12 @@ def test_questions(spark):
     r = dates.date_range(F.col("q"), F.lit("2025-05-15").cast("date"), 2024)
     got = {x.q: (x.i, x.p, x.w) for x in df.select("q", qs.intent(F.col("q"), r).alias("i"), qs.place(F.col("q")).alias("p"), qs.person(F.col("q")).alias("w")).collect()}
     assert {q: i for q, (i, _, _) in got.items()} == want and got["渋谷に行った"][1] == "渋谷" and got["Annと会った"][2] == "Ann"
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
