@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from kronoleaf.llm import common, line_dedup, near_dup, oracles, quality
+from kronoleaf.llm import automaton_dedup, common, line_dedup, near_dup, oracles, quality, suffix_dedup
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -326,3 +326,14 @@ def test_numbered_names_come_back(spark):
 def test_stages_do_not_swallow_import_errors():
     for module in (corpus_pipeline, line_dedup, near_dup, quality):
         assert "ImportError" not in inspect.getsource(module)
+
+
+def test_passages_in_many_contexts(spark):
+    """One passage in contexts that all differ, against all windows."""
+    rng = np.random.default_rng(6)
+    passage, tail = " ".join(f"common{i}" for i in range(70)), " ".join(f"tail{i}" for i in range(40))
+    some = lambda n: " ".join(f"x{v}" for v in rng.integers(0, 500, n))
+    rows = [(i, f"{some(int(rng.integers(0, 30)))} {passage} {tail if i % 3 else ''} {some(int(rng.integers(0, 30)))}") for i in range(24)] + [(30, passage), (30, passage), (None, passage + " end"), (31, "short"), (32, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(suffix_dedup.remove_repeats(df).collect(), brute.op1(rows), COLUMNS[1])
+    same(automaton_dedup.remove_repeats(df).collect(), brute.op4(rows), COLUMNS[4])
