@@ -122,7 +122,7 @@ REFUSED = ["rejected", "wrong"]
 
 
 def hybrid(rows: DataFrame, terms: list[str], vlm_fields: list[str], ocr_fields: list[str], place_fields: list[str], specific: list[str] = (), generic: list[str] = ()) -> DataFrame:
-    """Images with their part scores and the final one.
+    """Images with their part scores and the final one, unrounded.
 
     A row has the fields, embedding (0 to 1), sql (0 to 1), line_hits, gps_lat, gps_lon, is_verified, is_wrong, review_status,
     safety_flags_json, and event_title, event_summary, event_location, event_confidence, event_verified,
@@ -161,7 +161,7 @@ def hybrid(rows: DataFrame, terms: list[str], vlm_fields: list[str], ocr_fields:
     people_only = ~context & (flags == F.array(F.lit("people_present")))
     final = F.when(lone | people_only, F.least(final, F.lit(0.44))).otherwise(final)
     final = F.when(c("visual_match"), final).otherwise(final * 0.5)
-    return rows.withColumn("final_score", F.round(F.greatest(F.lit(0.0), F.least(final, F.lit(0.95))), 3))
+    return rows.withColumn("final_score", F.greatest(F.lit(0.0), F.least(final, F.lit(0.95))))
 
 
 def with_person(final: Column, person: Column, asked: bool) -> Column:

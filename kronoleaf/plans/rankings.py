@@ -144,12 +144,12 @@ b AS (SELECT *, {vlm} AS vlm_score, ({seen}) AS visual_match FROM a), c AS (SELE
  CASE WHEN coalesce(is_verified,0)=1 OR coalesce(review_status,'')='accepted' THEN 0.08::double ELSE 0 END + CASE WHEN coalesce(event_verified,0)=1 THEN 0.1::double ELSE 0 END + CASE WHEN coalesce(event_pinned,0)=1 THEN 0.12::double ELSE 0 END AS boost, CASE WHEN {_UNSAFE} THEN -0.1::double ELSE 0 END + CASE WHEN coalesce(is_wrong,0)=1 OR coalesce(review_status,'') IN {_REFUSED} THEN -0.5::double ELSE 0 END AS penalty FROM b),
 d AS (SELECT *, embedding_score*0.30::double + vlm_score*0.20::double + ocr_score*0.15::double + line_score*0.15::double + event_score*0.15::double + place_score*0.05::double + boost + penalty + least(0.18::double, specific*0.18::double) AS raw, ocr_score>0 OR line_score>0 OR event_score>0 OR place_score>0 AS context FROM c),
 e AS (SELECT *, CASE WHEN NOT context AND (embedding_score>0) <> (vlm_score>0) THEN least(raw,0.44::double) ELSE raw END AS capped FROM d)
-SELECT id, round(vlm_score,3) AS vlm_score, round(ocr_score,3) AS ocr_score, visual_match, round(greatest(0::double, least(CASE WHEN visual_match THEN capped ELSE capped*0.5::double END, 0.95::double)),3) AS final_score FROM e"""
+SELECT id, round(vlm_score,3) AS vlm_score, round(ocr_score,3) AS ocr_score, visual_match, round(greatest(0::double, least(CASE WHEN visual_match THEN capped ELSE capped*0.5::double END, 0.95::double)),9) AS final_score FROM e"""
 
 
 def _hybrid(t, specific=(), generic=()):
     rows = rk.hybrid(_images(t), _TERMS, _VLM_F, _OCR_F, ["place"], specific, generic)
-    return rows.select("id", F.round("vlm_score", 3).alias("vlm_score"), F.round("ocr_score", 3).alias("ocr_score"), "visual_match", "final_score")
+    return rows.select("id", F.round("vlm_score", 3).alias("vlm_score"), F.round("ocr_score", 3).alias("ocr_score"), "visual_match", F.round("final_score", 9).alias("final_score"))
 
 
 @query(_hybrid_sql(None, []))
