@@ -54,9 +54,9 @@ def _one_row(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
 def report(load: Callable[[str], DataFrame], rules: list) -> DataFrame:
     """(metric, n), by one pass of a table for each kind of rule.
 
-    Conditions are counted in one aggregate. Parents are reduced to their distinct keys and
-    joined one after the other; rows that found none are counted together. Repeated keys
-    and spreads are exploded to (metric, key) and grouped with partial counts. Long texts
+    Conditions are counted in one aggregate. One parent is an anti join; several are reduced to their
+    distinct keys and joined one after the other, and rows that found none are counted together. Several
+    repeated keys, and spreads, are exploded to (metric, key) and grouped with partial counts. Long texts
     are never keys: their digests are.
     """
     parts, load = [], cache(load)
@@ -65,13 +65,21 @@ def report(load: Callable[[str], DataFrame], rules: list) -> DataFrame:
         name = lambda r: f"{r.table}.{r.metric}"
         if own := of(Count):
             parts.append(_one_row(load(table), {name(r): F.count_if(F.expr(r.condition)) for r in own}))
-        if own := of(Orphan):
+        own = of(Orphan)
+        if len(own) == 1:
+            child = load(table).where(F.expr(own[0].condition) & F.col(own[0].key).isNotNull()).select(F.col(own[0].key).alias("k"))
+            parts.append(_one_row(child.join(load(own[0].parent).select(F.col(own[0].parent_key).alias("k")), "k", "left_anti"), {name(own[0]): F.count("*")}))
+        elif own:
             rows = load(table)
             for i, r in enumerate(own):
                 parent = load(r.parent).select(F.col(r.parent_key).alias(f"k{i}")).distinct()
                 rows = rows.join(parent, F.col(r.key) == F.col(f"k{i}"), "left")
             parts.append(_one_row(rows, {name(r): F.count_if(F.expr(r.condition) & F.col(r.key).isNotNull() & F.col(f"k{i}").isNull()) for i, r in enumerate(own)}))
-        if own := of(Repeat):
+        own = of(Repeat)
+        if len(own) == 1:
+            groups = load(table).groupBy(*own[0].keys).agg(F.count("*").alias("c"))
+            parts.append(_one_row(groups, {name(own[0]): F.count_if(F.col("c") > 1)}))
+        elif own:
             keys = F.explode(F.array(*[F.struct(F.lit(name(r)).alias("metric"), F.to_json(F.struct(*r.keys)).alias("key")) for r in own]))
             groups = load(table).select(keys.alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("c"))
             parts.append(_one_row(groups, {name(r): F.count_if((F.col("metric") == name(r)) & (F.col("c") > 1)) for r in own}))
