@@ -40,7 +40,7 @@ def place_sessions(facts: DataFrame, key: str, ts: str, order: str, gap_minutes:
         out, session, last, located = [], 0, None, []
         for t, lat, lon in zip(pdf[ts], pdf["lat"], pdf["lon"], strict=True):
             here = (lat, lon) if pd.notna(lat) and pd.notna(lon) else None
-            away = bool(here and located) and min(metres(*here, *x) for x in located) > far_metres
+            away = bool(here and located) and all(metres(*here, *x) > far_metres for x in located)
             if last is None or (t - last).total_seconds() >= gap_minutes * 60 or away:
                 session, located = session + 1, []
             if here:
