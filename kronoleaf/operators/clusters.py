@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..checkpoints import written
 from .geo import fixed, haversine, valid
 from .search import flag
 
@@ -62,13 +63,13 @@ def best_of_each(scores: DataFrame, key: str, kind: str, score: str) -> DataFram
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): each node with the least id reachable over edges (a, b). Labels spread to neighbours and then jump to their
     label's label, so long chains end in few rounds; each round is written in the checkpoint folder."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("root")).checkpoint()
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = written(nodes.select("id", F.col("id").alias("root")))
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels.id == near.a, "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
         jump = step.select(F.col("id").alias("low"), F.col("low").alias("far"))
-        moved = step.join(jump, "low", "left").select("id", F.col("root").alias("was"), F.least("low", F.coalesce("far", "low")).alias("root")).checkpoint()
+        moved = written(step.join(jump, "low", "left").select("id", F.col("root").alias("was"), F.least("low", F.coalesce("far", "low")).alias("root")))
         labels = moved.select("id", "root")
         if moved.where("was <> root").isEmpty():
             return labels
@@ -81,7 +82,7 @@ def vector_clusters(vectors: DataFrame, edges: DataFrame, least: int) -> DataFra
     placed = components(vectors.select("id"), edges).withColumnRenamed("root", "cluster")
     big = placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster")
     own = placed.join(big, "cluster").join(vectors, "id")
-    cells = own.select("cluster", "id", F.posexplode("v").alias("i", "x")).withColumn("x", F.col("x").cast("double")).checkpoint()
+    cells = written(own.select("cluster", "id", F.posexplode("v").alias("i", "x")).withColumn("x", F.col("x").cast("double")))
     mean = cells.groupBy("cluster", "i").agg(F.avg("x").alias("m"))
     norm = mean.groupBy("cluster").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
     dots = cells.join(mean, ["cluster", "i"]).groupBy("cluster", "id").agg(F.sum(F.col("x") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("own"))
@@ -111,7 +112,7 @@ def islands(points: DataFrame, metres: float) -> DataFrame:
     highest = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
     lon = lat / max(float(np.cos(np.radians(min(highest, 89.0)))), 0.01)
     at = points.withColumn("cy", F.floor(F.col("lat") / lat)).withColumn("cx", F.floor(F.col("lon") / lon)).withColumn("cell", F.concat_ws(":", "cy", "cx"))
-    cells = at.select("cell", "cy", "cx").distinct().checkpoint()
+    cells = written(at.select("cell", "cy", "cx").distinct())
     step = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     near = cells.select("cell", "cy", "cx", step.alias("s")).select(F.col("cell").alias("a"), F.concat_ws(":", F.col("cy") + F.col("s.y"), F.col("cx") + F.col("s.x")).alias("b"))
     edges = near.join(cells.select(F.col("cell").alias("b")), "b", "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..checkpoints import written
 from ..functions import safety, text as T
 from ..functions.text import any_term
 from ..operators import clusters as cl, ranking as rk, search, statistics as st, upkeep as up, vectors
@@ -29,7 +30,7 @@ def monthly_summary(t):
     """The sections of a summary of a range of dates; hidden events are left out."""
     day = F.substring(F.coalesce("captured_at", "fallback_captured_at"), 1, 10)
     within = lambda df, d: df.where(d.between(_FROM, _TO))
-    events = within(search.overlaid_events(t("life_events"), t("overrides")), F.col("date")).where("is_hidden = 0").checkpoint()
+    events = written(within(search.overlaid_events(t("life_events"), t("overrides")), F.col("date")).where("is_hidden = 0"))
     media = within(t("media"), day).withColumn("media_id", F.col("id"))
     said, calls = within(t("messages"), F.substring("sent_at", 1, 10)), within(_calls(t), F.substring("sent_at", 1, 10))
     of = lambda df: df.join(media.select("media_id"), "media_id", "left_semi")
