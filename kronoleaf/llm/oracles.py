@@ -84,4 +84,34 @@ t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS it
 n AS (SELECT rid, count(*) AS n_words FROM w GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n_words,0) AS n_words, coalesce(c.n_hit,0) AS n_hit, coalesce(t.n_items,0) AS n_items, sha256(coalesce(t.items,'')) AS items_sha256, coalesce(c.n_hit,0)>0 AS contaminated FROM d LEFT JOIN n USING (rid) LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)"""
 
-SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_secret_scans": _OP3, "op4_substring_dedup": _OP4, "op7_line_dedup": _OP7, "op9_near_dedup": _OP9, "op10_decontamination": _OP10}
+_OP11 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0,'user'),(1,'assistant')) v(t, r)),
+e AS (SELECT *, 4+length(regexp_replace(role, '(\\|###|</turn>|: )', '\\\1', 'g'))+2+length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g'))+8 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role='assistant'),0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role='assistant'),'')) AS loss_sha256,
+CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+_OP12 = f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang,'') AS lang, coalesce(source,'') AS source, coalesce(text,'') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all({_lowered("text")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT rid)>=3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT c.lang, c.source, sum(c.n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n,0) AS n, CAST(1+(CAST(1000000000 AS HUGEINT)*(coalesce(c.n,0)+1))//(coalesce(t.n,0)+v.v) AS BIGINT) AS p, CAST(1+(CAST(1000000000 AS HUGEINT)*(k.n+1))//(v.n+v.v) AS BIGINT) AS q
+FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang=g.lang AND t.source=g.source LEFT JOIN c ON c.lang=g.lang AND c.source=g.source AND c.term=k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p-b.p)*(a.p-b.p)//b.p) AS value FROM p a JOIN p b ON a.lang=b.lang AND a.term=b.term AND a.source<>b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value,0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang=b.lang AND a.source<>b.source LEFT JOIN s ON s.lang=a.lang AND s.source=a.source AND s.item=b.source
+UNION ALL SELECT lang, source, 'term', term, (p-q)*(p-q)//q FROM p WHERE n>0 AND p>q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part='pair' OR rank<=200"""
+
+_OP13 = """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id%7=0 THEN (label+1)%10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256*CAST(x AS DOUBLE)) AS BIGINT)) AS e
+FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+x AS (SELECT vec_id, label, unnest(e) AS x, unnest(range(len(e))) AS i FROM v),
+s AS (SELECT a.vec_id AS anchor_id, a.label=b.label AS alike, b.vec_id AS id, CAST(sum(a.x*b.x) AS BIGINT) AS score FROM x a JOIN x b ON a.i=b.i AND a.vec_id<>b.vec_id WHERE a.vec_id%100=0 GROUP BY a.vec_id, a.label=b.label, b.vec_id),
+p AS (SELECT anchor_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE alike) WHERE r<=5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+FROM p JOIN s ON s.anchor_id=p.anchor_id AND NOT s.alike AND 30*p.score<=100*s.score AND 100*s.score<=90*p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank<=10"""
+
+SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_secret_scans": _OP3, "op4_substring_dedup": _OP4, "op7_line_dedup": _OP7, "op9_near_dedup": _OP9, "op10_decontamination": _OP10, "op11_chat_formatting": _OP11, "op12_source_divergence": _OP12, "op13_hard_negatives": _OP13}
