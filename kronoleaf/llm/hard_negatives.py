@@ -257,10 +257,11 @@ def serving(pivots: Pivots, rings: list, width: int, k: int, low: int, up: int):
     return run
 
 
-def mine(rows: DataFrame, is_anchor: Column | None = None, label: Column | None = None, positives: int = 5, negatives: int = 10, low: int = 30, up: int = 90, pivots: int = PIVOTS, group_values: int = GROUP_VALUES, anchor_sets: list | None = None) -> DataFrame:
+def mine(rows: DataFrame, is_anchor: Column | None = None, label: Column | None = None, positives: int = 5, negatives: int = 10, low: int = 30, up: int = 90, pivots: int = PIVOTS, group_values: int = GROUP_VALUES, sent: list | None = None) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of rows (vec_id, embedding, label).
 
     `is_anchor` and `label` are expressions on vec_id and label; by default each 100th id is an anchor and labels stay.
+    `sent`, if given, gets (rows copied, groups) of both joins.
     """
     spark = rows.sparkSession
     ready(spark)
@@ -269,7 +270,7 @@ def mine(rows: DataFrame, is_anchor: Column | None = None, label: Column | None
     n, n_anchors, most, width = rows.agg(F.count(F.lit(1)), F.count_if(is_anchor), F.coalesce(F.max("norm"), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(1, width)
     # Pivots: the rows of the least hashes of their vectors, one a vector, a number of them that never exceeds the bounds.
-    count = max(1, min(pivots, PIVOT_VALUES // width, int(n**0.5)))
+    count = max(1, min(pivots, PIVOT_VALUES // width, int(4 * n**0.5)))
     hashed = rows.withColumn("h", F.xxhash64("v"))
     some = hashed.where(F.pmod("h", F.lit(max(1, n // (8 * count)))) == 0)
     chosen = []
@@ -300,8 +301,8 @@ def mine(rows: DataFrame, is_anchor: Column | None = None, label: Column | None
 
     def joined(a: DataFrame, k: int) -> DataFrame:
         served = a.select("grp", "label", "key", "v", "positives").mapInArrow(serving(p, rings, width, k, low, up), "ring long, grp long").distinct()
-        if anchor_sets is not None:
-            anchor_sets.append(placed.groupBy("ring").count().join(served, "ring").agg(F.sum("count")).first()[0])
+        if sent is not None:
+            sent.append(tuple(placed.groupBy("ring").count().join(served, "ring").agg(F.sum("count"), F.count_distinct("grp")).first()))
         return _join(a, placed, served, slices, width, k, low, up)
 
     order = Window.partitionBy("anchor_id", "anchor_key").orderBy(F.desc("score"), "id")

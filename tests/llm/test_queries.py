@@ -75,7 +75,7 @@ def test_brute_force(spark, queries, sf, n):
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_sql(spark, queries, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want, got = con.sql(oracles.SQL[name]), queries[name](spark, SF)
     assert sorted(want.columns) == sorted(got.columns)
