@@ -129,7 +129,6 @@ def hybrid(rows: DataFrame, terms: list[str], vlm_fields: list[str], ocr_fields:
     event_pinned of its event, null without one.
     """
     visual = [*vlm_fields, *ocr_fields]
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
     emb = F.greatest(F.lit(0.0), F.least(F.col("embedding"), F.lit(1.0)))
     rows = rows.withColumns({"vlm_score": field_score(vlm_fields, terms), "ocr_score": field_score(ocr_fields, terms), "embedding_score": emb, "sql_score": F.col("sql")})
     if specific:
@@ -143,12 +142,17 @@ def hybrid(rows: DataFrame, terms: list[str], vlm_fields: list[str], ocr_fields:
         rows = rows.withColumn("specific_score", F.lit(0.0))
         seen = (F.col("vlm_score") > 0) | (F.col("ocr_score") > 0) | (F.col("sql_score") > 0) | (F.col("embedding_score") >= 0.35)
     rows = rows.withColumn("visual_match", seen)
+    rows = rows.withColumns({"event_hit": field_score(["event_title", "event_summary"], terms) > 0, "place_hit": (field_score(["event_location"], terms) > 0) | (field_score(place_fields, terms) > 0)})
+    return final_scores(rows)
+
+
+def final_scores(rows: DataFrame) -> DataFrame:
+    """Part scores of lines, event and place, and the final one, from rows with the scores of text and vector, `visual_match`, `specific_score`,
+    whether the query's terms hit the event (`event_hit`) or the place (`place_hit`), and the facts that `hybrid` names."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     has_event = F.col("event_confidence").isNotNull()
-    event = F.when(has_event, F.least(F.lit(1.0), F.lit(0.35) + F.greatest(F.lit(0.0), F.least("event_confidence", F.lit(1.0))) * 0.35 + F.when(field_score(["event_title", "event_summary"], terms) > 0, 0.2).otherwise(0.0))).otherwise(0.0)
-    place = F.greatest(
-        F.when(F.col("gps_lat").isNotNull() & F.col("gps_lon").isNotNull(), 0.3).otherwise(0.0), F.when(F.col("event_location") != "", 0.4).otherwise(0.0),
-        F.when((field_score(["event_location"], terms) > 0) | (field_score(place_fields, terms) > 0), 1.0).otherwise(0.0),
-    )
+    event = F.when(has_event, F.least(F.lit(1.0), F.lit(0.35) + F.greatest(F.lit(0.0), F.least("event_confidence", F.lit(1.0))) * 0.35 + F.when(F.col("event_hit"), 0.2).otherwise(0.0))).otherwise(0.0)
+    place = F.greatest(F.when(F.col("gps_lat").isNotNull() & F.col("gps_lon").isNotNull(), 0.3).otherwise(0.0), F.when(F.col("event_location") != "", 0.4).otherwise(0.0), F.when(F.col("place_hit"), 1.0).otherwise(0.0))
     rows = rows.withColumns({"line_score": F.least(F.lit(1.0), F.col("line_hits") * 0.35), "event_score": event, "place_score": place})
     rows = rows.withColumns({c: F.when(F.col("visual_match"), F.col(c)).otherwise(F.least(F.col(c), F.lit(0.2))) for c in ("line_score", "event_score")})
     boost = F.when(flag("is_verified") | (F.col("review_status") == "accepted"), 0.08).otherwise(0.0) + zero(F.when(flag("event_verified"), 0.1)) + zero(F.when(flag("event_pinned"), 0.12))

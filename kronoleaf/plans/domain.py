@@ -78,6 +78,7 @@ TABLES: dict[str, str] = {
     "face_clusters": """SELECT DISTINCT concat('fc_', (l_orderkey % 4000) % 120) AS id, CASE WHEN (l_orderkey % 4000) % 120 % 11 = 0 THEN 'rejected' ELSE 'reviewed' END AS status FROM {lineitem}""",
     "person_clusters": """SELECT DISTINCT concat('person_', l_orderkey % 4000 % 120 % 50) AS person_id, concat('fc_', (l_orderkey % 4000) % 120) AS cluster_id, CASE WHEN (l_orderkey % 4000) % 120 % 3 = 0 THEN 0 ELSE 1 END AS is_verified FROM {lineitem}""",
     "media_vectors": """SELECT concat('media_', vec_id % 400) AS media_id, CASE WHEN vec_id < 400 THEN 'image' ELSE 'text' END AS embedding_type, embedding, CASE label WHEN 0 THEN 'failed' ELSE 'success' END AS status, CASE label WHEN 1 THEN 'fake_model' ELSE 'model_a' END AS embedding_model, vec_id FROM {embeddings}""",
+    "image_queries": """SELECT vec_id AS query_id, embedding, CASE label % 4 WHEN 0 THEN 'ramen' WHEN 1 THEN 'meal' WHEN 2 THEN 'src5' ELSE 'indoor' END AS term_1, CASE label % 3 WHEN 0 THEN '新宿' WHEN 1 THEN 'カフェ' ELSE 'tion' END AS term_2 FROM {embeddings} WHERE vec_id % 20 = 0""",
     "job_items": """SELECT concat('job_', l_orderkey) AS job_id, concat('media_', l_partkey) AS item_id, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'success' ELSE CASE l_linestatus WHEN 'O' THEN 'skipped' ELSE 'pending' END END AS status FROM {lineitem}""",
 }
 _DRIVER = re.compile(r"\{(\w+)\}")
