@@ -27,29 +27,44 @@ def metres(a_lat: float, a_lon: float, b_lat: float, b_lon: float) -> float:
     return 2 * 6_371_000 * asin(min(1.0, sqrt(h)))
 
 
+class PlaceFold:
+    """Sessions of one key, item by item in order: broken by gap, by day, and by distance from all located items of the session."""
+
+    def __init__(self, gap_minutes: int, far_metres: float, day: str = "", session: int = 0, last: int | None = None, located: list | None = None):
+        self.gap, self.far = gap_minutes * 60_000_000, far_metres
+        self.day, self.session, self.last, self.located = day, session, last, [tuple(x) for x in located or ()]
+
+    def add(self, day: str, micros: int, lat: float | None, lon: float | None) -> int:
+        """The item's session of its day, from 1; items without a position never break one."""
+        if day != self.day:
+            self.day, self.session, self.last = day, 0, None
+        here = None if lat is None or lon is None or lat != lat or lon != lon else (lat, lon)
+        # A place that the session already has is near; only others are measured.
+        away = bool(here and self.located) and here not in self.located and all(metres(*here, *x) > self.far for x in self.located)
+        if self.last is None or micros - self.last >= self.gap or away:
+            self.session, self.located = self.session + 1, []
+        if here and here not in self.located:
+            self.located.append(here)
+        self.last = micros
+        return self.session
+
+
 def place_sessions(facts: DataFrame, key: str, ts: str, order: str, gap_minutes: int = 90, far_metres: float = 500) -> DataFrame:
     """(key, day, order, session): also broken where an item lies far from all located items of its session.
 
     The rule depends on all earlier members, so each key and day is folded in one
-    small group; lat and lon may be null, which never breaks a session.
+    small group; lat and lon may be null, which never breaks a session. Key and order may be of any type.
     """
-    schema = f"`{key}` long, day string, `{order}` long, session long"
+    kinds = dict(facts.dtypes)
+    schema = f"`{key}` {kinds[key]}, day string, `{order}` {kinds[order]}, session long"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        out, session, last, located = [], 0, None, []
-        for t, lat, lon in zip(pdf[ts], pdf["lat"], pdf["lon"], strict=True):
-            here = (lat, lon) if pd.notna(lat) and pd.notna(lon) else None
-            away = bool(here and located) and all(metres(*here, *x) > far_metres for x in located)
-            if last is None or (t - last).total_seconds() >= gap_minutes * 60 or away:
-                session, located = session + 1, []
-            if here:
-                located.append(here)
-            last = t
-            out.append(session)
+        pdf = pdf.sort_values(["at", order])
+        one = PlaceFold(gap_minutes, far_metres)
+        out = [one.add(*x) for x in zip(pdf["day"], pdf["at"], pdf["lat"], pdf["lon"], strict=True)]
         return pd.DataFrame({key: pdf[key], "day": pdf["day"], order: pdf[order], "session": out})
 
-    return facts.withColumn("day", day(ts)).select(key, "day", order, ts, "lat", "lon").groupBy(key, "day").applyInPandas(fold, schema)
+    return facts.withColumn("day", day(ts)).select(key, "day", order, micros(F.col(ts)).alias("at"), "lat", "lon").groupBy(key, "day").applyInPandas(fold, schema)
 
 
 def merge_kinds(clusters: DataFrame, key: str, window_minutes: int = 90) -> DataFrame:
@@ -58,7 +73,7 @@ def merge_kinds(clusters: DataFrame, key: str, window_minutes: int = 90) -> Data
     In order of start and end, a cluster joins the last merged one if their kinds
     differ (or the last is mixed) and they overlap or lie at most the window apart.
     """
-    schema = f"`{key}` long, day string, merged long, kinds string, n long, start_at timestamp_ntz, end_at timestamp_ntz"
+    schema = f"`{key}` {dict(clusters.dtypes)[key]}, day string, merged long, kinds string, n long, start_at timestamp_ntz, end_at timestamp_ntz"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
