@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import atan2, cos as cos_, radians, sin, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -105,50 +107,95 @@ def location_points(media: DataFrame, privacy: str = "exact_private") -> DataFra
     return media.where(valid("gps_lat", "gps_lon") & (at != "")).select(F.concat(F.lit("lp_media_"), "id").alias("id"), F.col("id").alias("media_id"), at.alias("captured_at"), F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"), F.lit(privacy).alias("privacy_level"))
 
 
+def columns_around(height: float, highest: float) -> int:
+    """Grid columns around the globe, each as wide as `height` degrees of latitude at least, as far as `highest` reaches; one at the poles."""
+    if highest + height >= 89.9:
+        return 1
+    return max(1, int(360 * float(np.cos(np.radians(highest + height))) / height))
+
+
 def islands(points: DataFrame, metres: float) -> DataFrame:
-    """Points with `island`: components of occupied grid cells that touch. Cells are twice `metres` wide, so points of different
-    islands are more than that apart."""
+    """Points with `island`: components of occupied grid cells that touch, across 180 degrees too. Cells are twice `metres` wide at
+    least, so points of different islands are more than that apart."""
     lat = 2 * metres / 111_000
     highest = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    lon = lat / max(float(np.cos(np.radians(min(highest, 89.0)))), 0.01)
-    at = points.withColumn("cy", F.floor(F.col("lat") / lat)).withColumn("cx", F.floor(F.col("lon") / lon)).withColumn("cell", F.concat_ws(":", "cy", "cx"))
+    around = columns_around(lat, highest)
+    column = lambda x: F.pmod(x, F.lit(around))
+    at = points.withColumn("cy", F.floor(F.col("lat") / lat)).withColumn("cx", column(F.floor((F.col("lon") + 180) * (around / 360)))).withColumn("cell", F.concat_ws(":", "cy", "cx"))
     cells = written(at.select("cell", "cy", "cx").distinct())
     step = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    near = cells.select("cell", "cy", "cx", step.alias("s")).select(F.col("cell").alias("a"), F.concat_ws(":", F.col("cy") + F.col("s.y"), F.col("cx") + F.col("s.x")).alias("b"))
+    near = cells.select("cell", "cy", "cx", step.alias("s")).select(F.col("cell").alias("a"), F.concat_ws(":", F.col("cy") + F.col("s.y"), column(F.col("cx") + F.col("s.x"))).alias("b"))
     edges = near.join(cells.select(F.col("cell").alias("b")), "b", "left_semi")
     roots = components(cells.select(F.col("cell").alias("id")), edges).select(F.col("id").alias("cell"), F.col("root").alias("island"))
     return at.join(roots, "cell").drop("cell", "cy", "cx")
 
 
+class Centres:
+    """Running centres on a grid of cells as wide as the radius: a point looks at its own and the eight cells around."""
+
+    def __init__(self, metres: float, highest: float):
+        self.metres, self.high = metres, metres / 111_000
+        self.around = columns_around(self.high, highest)
+        self.lat, self.lon, self.n, self.cells = [], [], [], {}
+
+    def _cell(self, lat: float, lon: float) -> tuple[int, int]:
+        return int(np.floor(lat / self.high)), int((lon + 180) / 360 * self.around) % self.around
+
+    def add(self, lat: float, lon: float) -> int:
+        """The nearest centre within the radius, the first of equals, or a new one; it moves to the mean of its points."""
+        y, x = self._cell(lat, lon)
+        best, at = self.metres, None
+        p, cos = radians(lat), cos_(radians(lat))
+        for row in (y - 1, y, y + 1):
+            for column in {(x - 1) % self.around, x, (x + 1) % self.around}:
+                for k in self.cells.get((row, column), ()):
+                    q = radians(self.lat[k])
+                    h = sin((q - p) / 2) ** 2 + cos * cos_(q) * sin(radians(self.lon[k] - lon) / 2) ** 2
+                    far = 2 * 6_371_000 * atan2(sqrt(h), sqrt(1 - h))
+                    if far < best or far == best and (at is None or k < at):
+                        best, at = far, k
+        if at is None:
+            at = len(self.n)
+            self.lat.append(lat)
+            self.lon.append(lon)
+            self.n.append(1)
+            self.cells.setdefault((y, x), []).append(at)
+            return at
+        old = self._cell(self.lat[at], self.lon[at])
+        self.n[at] += 1
+        self.lat[at] += (lat - self.lat[at]) / self.n[at]
+        turn = (lon - self.lon[at] + 180) % 360 - 180 if abs(lon - self.lon[at]) > 180 else lon - self.lon[at]
+        moved = self.lon[at] + turn / self.n[at]
+        self.lon[at] = (moved + 180) % 360 - 180 if abs(moved) > 180 else moved
+        new = self._cell(self.lat[at], self.lon[at])
+        if new != old:
+            self.cells[old].remove(at)
+            self.cells.setdefault(new, []).append(at)
+        return at
+
+
 def leader_clusters(points: DataFrame, metres: float) -> DataFrame:
     """(id, leader): in order of time and id each point joins the nearest centre within `metres`, or starts a cluster named by itself;
-    centres are running means.
+    centres are running means, of longitudes the short way round.
 
     A point joins a centre only where it lies within twice the distance of that cluster's
     latest member, so islands of points further apart than that are folded independently;
-    the fold of one island depends on order and cannot be split.
+    the fold of one island depends on order and cannot be split, but takes time near its number of points,
+    since a point is compared with the centres of nine cells only.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["captured_at", "id"])
-        lat, lon, n = np.zeros(len(pdf)), np.zeros(len(pdf)), np.zeros(len(pdf))
-        leaders, out = [], []
+        centres, leaders, out = Centres(metres, float(pdf.lat.abs().max())), [], []
         for i, y, x in zip(pdf.id, pdf.lat, pdf.lon, strict=True):
-            k = len(leaders)
-            p, q = np.radians(y), np.radians(lat[:k])
-            h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon[:k] - x) / 2) ** 2
-            far = 2 * 6_371_000 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
-            near = int(far.argmin()) if k else 0
-            if not k or far[near] > metres:
-                near = k
+            k = centres.add(float(y), float(x))
+            if k == len(leaders):
                 leaders.append(i)
-            n[near] += 1
-            lat[near] += (y - lat[near]) / n[near]
-            lon[near] += (x - lon[near]) / n[near]
-            out.append(leaders[near])
+            out.append(leaders[k])
         return pd.DataFrame({"id": pdf.id, "leader": out})
 
-    return islands(points.select("id", "captured_at", "lat", "lon"), metres).groupBy("island").applyInPandas(fold, "id string, leader string")
+    kind = dict(points.dtypes)["id"]
+    return islands(points.select("id", "captured_at", "lat", "lon"), metres).groupBy("island").applyInPandas(fold, f"id {kind}, leader {kind}")
 
 
 def place_clusters(points: DataFrame, metres: float = 100.0, least: int = 3) -> DataFrame:

@@ -45,13 +45,17 @@ def nearest_within(points: DataFrame, point_id: str, places: DataFrame, place_id
     """Each point's nearest place whose own radius holds it; least id on ties.
 
     An equi-join on grid cells: a place goes to every cell that its radius can
-    reach, so no point meets all places.
+    reach, across 180 degrees too, so no point meets all places.
     """
+    around = max(1, int(360 / cell_degrees))
     reach_lat = F.col("radius_m") / 111_000.0
     reach_lon = reach_lat / F.greatest(F.cos(F.radians(F.least(F.abs("place_lat") + reach_lat, F.lit(89.0)))), F.lit(0.01))
-    span = lambda v, r: F.sequence(F.floor((v - r) / cell_degrees), F.floor((v + r) / cell_degrees))
-    cells = places.withColumn("cy", F.explode(span(F.col("place_lat"), reach_lat))).withColumn("cx", F.explode(span(F.col("place_lon"), reach_lon)))
-    at = points.withColumn("cy", F.floor(F.col("lat") / cell_degrees)).withColumn("cx", F.floor(F.col("lon") / cell_degrees))
+    column = lambda lon: F.floor((lon + 180) * (around / 360))
+    rows = F.sequence(F.floor((F.col("place_lat") - reach_lat) / cell_degrees), F.floor((F.col("place_lat") + reach_lat) / cell_degrees))
+    first = column(F.col("place_lon") - reach_lon)
+    columns = F.sequence(first, F.least(column(F.col("place_lon") + reach_lon), first + around - 1))
+    cells = places.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(F.transform(columns, lambda x: F.pmod(x, F.lit(around)))))
+    at = points.withColumn("cy", F.floor(F.col("lat") / cell_degrees)).withColumn("cx", F.pmod(column(F.col("lon")), F.lit(around)))
     d = haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
     near = at.join(cells, ["cy", "cx"]).withColumn("d", d).where(F.col("d") <= F.col("radius_m"))
     return near.groupBy(point_id).agg(F.min(F.struct("d", place_id)).alias("best")).select(point_id, F.col(f"best.{place_id}").alias(place_id), F.col("best.d").alias("distance_m"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .search import flag
@@ -242,6 +244,42 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: list, k: int) -> Data
     return numbered.where((F.col("n") <= k) | F.array_contains(slots, F.col("i"))).drop("i", "n")
 
 
+def pilot(rows: DataFrame, keys: list[str], order: list[str], row_id: str, wanted: list[str], limit: int) -> DataFrame:
+    """`limit` rows of each group: evenly spaced in its order, filled up from the start, and for each flag of `wanted` at least one row that has it.
+
+    For a flag that no chosen row has, the group's first row with it takes the place of the last chosen row that has no flag at all, or of the
+    last one. Rows that repeat an id count once. Slots and first rows are found by windows; only those, at most `limit` and one a flag, are
+    brought together for the exchange.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order, row_id)
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, row_id).orderBy(*order))).where("__r = 1").drop("__r")
+    numbered = rows.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(max(limit, 1) - 1)), lambda s: F.bround(s * (F.col("__n") - 1) / max(limit - 1, 1)).cast("int"))
+    numbered = numbered.withColumn("__slot", (F.col("__n") <= limit) | F.array_contains(slots, F.col("__i")))
+    # Slots can coincide where ids repeat no more; the first rows that are no slot fill the rest.
+    spare = F.sum(F.when(~F.col("__slot"), 1)).over(w)
+    chosen = F.sum(F.col("__slot").cast("int")).over(Window.partitionBy(*keys))
+    numbered = numbered.withColumn("__chosen", F.col("__slot") | (F.coalesce(spare, F.lit(0)) <= limit - chosen) & ~F.col("__slot"))
+    firsts = {f"__first_{k}": (F.col(k) == 1) & (F.sum((F.coalesce(F.col(k), F.lit(0)) == 1).cast("int")).over(w) == 1) for k in wanted}
+    numbered = numbered.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in firsts.items()})
+    some = numbered.where(reduce(lambda a, b: a | b, [F.col("__chosen"), *map(F.col, firsts)]))
+    names = rows.columns
+
+    def exchange(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        mark = {k: pdf[f"__first_{k}"].to_numpy() for k in wanted}
+        has = pdf[wanted].fillna(0).to_numpy() == 1
+        working = list(np.flatnonzero(pdf["__chosen"].to_numpy()))[: max(limit, 0)]
+        for j, k in enumerate(wanted):
+            if not working or has[working, j].any() or not mark[k].any():
+                continue
+            bare = [p for p, i in enumerate(working) if not has[i].any()]
+            working[bare[-1] if bare else len(working) - 1] = int(mark[k].argmax())
+        return pdf.iloc[sorted(working)][names]
+
+    return some.groupBy(*keys).applyInPandas(exchange, rows.schema)
+
+
 def to_hide(events: DataFrame, kinds: DataFrame, most: float = 0.5) -> DataFrame:
     """Events of messages alone with little confidence, as a patch that hides them; kinds is (id, photo, line)."""
     return events.where(F.col("confidence") <= most).join(kinds.where("line > 0 and photo = 0").select("id"), "id", "left_semi").select(F.col("id").alias("event_id"), F.lit(1).alias("is_hidden"))
