@@ -4,7 +4,7 @@ Every window of `length` items (bytes or words) has one anchor: the start of its
 least-hashed `gram`-item piece, the leftmost of equals. Equal windows have their
 anchors at equal offsets, so windows need only be compared with windows whose anchor
 piece is the same. Neighbouring windows that share an anchor form one packed record
-of 39 bytes. A task first combines its records of equal content: all but one of them
+of 41 bytes. A task first combines its records of equal content: all but one of them
 are settled there and then travel spread over all buckets, so a passage that a third
 of all documents hold reaches its own bucket once a task. The others are dealt by
 piece hash, in packed batches, over buckets whose number follows the bytes of text. In a bucket,
@@ -33,13 +33,17 @@ from .textkit import Rolling, mix
 
 #: piece hash, content hash, row key, document order, first window start, anchor offset in it, windows - 1,
 #: and 1 where other records of the content were settled in the task, 2 for those
-RECORD = np.dtype([("piece", "<u8"), ("content", "<u8"), ("key", "<i8"), ("order", "<i8"), ("start", "<i4"), ("lead", "u1"), ("more", "u1"), ("same", "u1")])
+RECORD = np.dtype([("piece", "<u8"), ("content", "<u8"), ("key", "<i8"), ("order", "<i8"), ("start", "<i4"), ("lead", "<u2"), ("more", "<u2"), ("same", "u1")])
+#: Items of a window at most: what the fields of a record and of front-coded runs can tell.
+LONGEST = 30_000
 BUCKET_BYTES = 64 << 20
 FOUND = "key long, start int, lead int, more int, open boolean, alone boolean, bucket int, o long"
 
 
 def records(values: np.ndarray, rows: np.ndarray, keys: np.ndarray, order: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Packed records of all windows of the rows; values are items or their hashes."""
+    if length > LONGEST:
+        raise ValueError(f"windows of more than {LONGEST} items are not supported")
     n, span = len(values), length - gram + 1
     if n < length:
         return np.zeros(0, RECORD)
@@ -79,9 +83,22 @@ def bucket_count(docs: DataFrame) -> int:
     return max(buckets(docs.sparkSession), -(-size // BUCKET_BYTES))
 
 
+def again(r: np.ndarray) -> np.ndarray:
+    """Which records equal the one before in all that says where they are: those of equal rows."""
+    out = np.zeros(len(r), bool)
+    out[1:] = True
+    for name in ("piece", "content", "order", "key", "start"):
+        out[1:] &= r[name][1:] == r[name][:-1]
+    return out
+
+
+def by_place(r: np.ndarray) -> np.ndarray:
+    return r[np.lexsort((r["start"], r["key"], r["order"], r["content"], r["piece"]))]
+
+
 def combined(r: np.ndarray, ordered: bool) -> np.ndarray:
-    """The records with `same` set, from those of one task."""
-    r = r[np.lexsort((r["order"], r["content"], r["piece"]))]
+    """The records with `same` set, from those of one task; equal rows have theirs once."""
+    r = by_place(r)
     new = np.ones(len(r), bool)
     new[1:] = (r["piece"][1:] != r["piece"][:-1]) | (r["content"][1:] != r["content"][:-1])
     group = np.cumsum(new) - 1
@@ -89,7 +106,7 @@ def combined(r: np.ndarray, ordered: bool) -> np.ndarray:
         r["same"] = 2 * (r["order"] > r["order"][new][group])
     else:
         r["same"] = np.where(new, np.bincount(group)[group] > 1, 2)
-    return r
+    return r[~again(r)]
 
 
 def deal(made: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
@@ -132,10 +149,11 @@ def repeats(blobs: DataFrame, ordered: bool) -> DataFrame:
 
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.concatenate([np.frombuffer(x, RECORD) for x in pdf.packed])
-        done, r = r[r["same"] == 2], r[r["same"] < 2]
+        done, r = by_place(r[r["same"] == 2]), r[r["same"] < 2]
+        done = done[~again(done)]
         _, inverse, count = np.unique(r["piece"], return_inverse=True, return_counts=True)
         r = r[(count[inverse] > 1) | (r["same"] > 0)]
-        r = r[np.lexsort((r["order"], r["content"], r["piece"]))] if ordered else r[np.lexsort((r["content"], r["piece"]))]
+        r = by_place(r)
         if not len(r):
             return rows(key, done, np.zeros(len(done), bool), np.zeros(len(done), bool))
         new_piece = np.ones(len(r), bool)
@@ -153,7 +171,7 @@ def repeats(blobs: DataFrame, ordered: bool) -> DataFrame:
         else:
             flag, alone = copies > 1, copies == 1
             open_ = (contents > 1) & new
-        take = flag | open_
+        take = (flag | open_) & ~again(r)
         r, open_, alone = r[take], open_[take], alone[take]
         flag = flag[take]
         # A record that is flagged and open at once stands for both.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .anchors import bucket_count, packed, records, repeats
-from .common import ready, row_key, row_order
+from .common import ready, row_key, row_order, whole_ids
 from .textkit import chunks, flat, word_bounds, word_hashes
 
 GRAM = 12
@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         yield from packed((made(part) for batch in batches for part in chunks(batch)), n, True)
 
     found = repeats(docs.select("key", "o", "text").mapInArrow(anchor, "bucket int, packed binary"), True).checkpoint()
-    wanted = found.where("open").groupBy("key", "o").agg(F.collect_list(F.struct("start", "more", "bucket")).alias("wanted"))
+    wanted = found.where("open").groupBy("key", "o").agg(F.collect_set(F.struct("start", "more", "bucket")).alias("wanted"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,6 +142,8 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         automaton = SuffixAutomaton()
+        # Equal rows send the same passages; one of each is enough.
+        pdf = pdf.drop_duplicates(["key", "o", "start"])
         sequences = [x.split() for x in pdf.words]
         known: dict[bytes, bytes] = {}
         sequences = [[known.setdefault(w, w) for w in s] for s in sequences]
@@ -161,11 +163,12 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     parts = docs.join(wanted, ["key", "o"]).mapInArrow(passages, "bucket int, key long, o long, start int, words binary")
     edges = parts.groupBy("bucket").applyInPandas(match, "key long, o long, start long, end long")
     flagged = found.where("not alone").select("key", "o", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("more") + length).cast("long").alias("end"))
-    return flagged.union(edges).groupBy("key", "o").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
+    return flagged.union(edges).groupBy("key", "o").agg(F.collect_set(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
 
 
 def remove_repeats(documents: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and the kept text if asked."""
+    whole_ids(documents)
     docs = documents.select(row_key().alias("key"), row_order().alias("o"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = docs.join(repeated_spans(docs, length), ["key", "o"], "left").select("doc_id", "text", "spans")
     kind = documents.schema["doc_id"].dataType.simpleString()

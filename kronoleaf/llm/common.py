@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST = -(2**63)
@@ -36,8 +37,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, A_TO_Z, A_TO_Z.lower())
 
 
+def whole_ids(documents: DataFrame) -> None:
+    """Refuse ids of another type than whole numbers, where their order decides what is kept."""
+    kind = documents.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be of a whole-number type, since its order decides what is kept; it is {kind.simpleString()}")
+
+
 def row_order() -> Column:
-    """doc_id as a long; null, or an id that is no whole number, is the least."""
+    """doc_id as a long; null is the least."""
     return F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LEAST))
 
 

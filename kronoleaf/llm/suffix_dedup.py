@@ -151,7 +151,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         yield from packed((records(*flat(part.column("text")), np.asarray(part.column("key")), np.asarray(part.column("o")), length, gram) for part in parts), n, False)
 
     found = repeats(docs.select("key", "o", "text").mapInArrow(anchor, "bucket int, packed binary"), False).checkpoint()
-    wanted = found.where("open").groupBy("key", "o").agg(F.collect_list(F.struct("start", "lead", "more", "alone", "bucket")).alias("wanted"))
+    wanted = found.where("open").groupBy("key", "o").agg(F.collect_set(F.struct("start", "lead", "more", "alone", "bucket")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted, front-coded runs of open suffixes with their left contexts."""
@@ -211,7 +211,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     runs = docs.join(wanted, ["key", "o"]).mapInArrow(run, "bucket int, shared binary, rest_n binary, rest binary, left binary, meta binary")
     edges = runs.groupBy("bucket").applyInPandas(merge, "key long, o long, start long, end long")
     flagged = found.where("not alone").select("key", "o", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("more") + length).cast("long").alias("end"))
-    return flagged.union(edges).groupBy("key", "o").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
+    return flagged.union(edges).groupBy("key", "o").agg(F.collect_set(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
