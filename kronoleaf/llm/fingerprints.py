@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import buckets, ready, row_order
+from .common import buckets, ready, row_order, whole_ids
 from .textkit import CHUNK_BYTES, flat, mix, shingles, word_hashes
 
 BINS, LOW = 256, 8
@@ -78,6 +78,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     as a tail, to the range before it (that of the first range to the last one),
     so every row and its successor meet in one task after a single shuffle.
     """
+    whole_ids(documents)
     spark = documents.sparkSession
     n = buckets(spark)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_order().alias("__o"))

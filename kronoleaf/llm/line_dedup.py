@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import numbered, ready, row_order
+from .common import numbered, ready, row_order, whole_ids
 
 _STRIP = " \t\n\v\f\r"
 SEGMENT_BITS = 1 << 22
@@ -170,6 +170,7 @@ def suspects_by_segment(docs: DataFrame, merged: DataFrame, min_chars: int, bits
 
 def drop_repeated_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, counts: tuple[str, str] | None = None, salts: int = 8, broadcast_bits: int = 1 << 30) -> DataFrame:
     """`documents` with the kept lines as text, and the numbers of lines before and of lines dropped under the names `counts`."""
+    whole_ids(documents)
     ready(documents.sparkSession)
     others, back = numbered(documents, "text")
     docs = documents.select(*others, row_order().alias("o"), F.xxhash64("text").alias("h"), "text")

@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LEAST, ready, row_key, row_order
+from .common import LEAST, ready, row_key, row_order, whole_ids
 from .graph import components
 from .textkit import LOWER, chunks, flat, mix, shingles, word_hashes
 
@@ -161,6 +161,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def link_classes(documents: DataFrame, k: int, percent: int = 80, miss: float = 1e-9, star_rounds: int = 1, block: tuple[int, int] = (1024, 4096), broadcast_ids: int = 1_000_000) -> DataFrame:
     """(key, o, n, group, root): each row's `row_key()`, id (null as the least long), set size, component (null without shingles) and the component's least id, which components can share where ids repeat."""
+    whole_ids(documents)
     spark = documents.sparkSession
     ready(spark)
     docs = documents.select(row_order().alias("o"), F.coalesce("text", F.lit("")).alias("text"), row_key().alias("key"))
