@@ -57,9 +57,10 @@ def encoded(vector: Column) -> Column:
 
 
 def best_of_each(scores: DataFrame, key: str, kind: str, score: str) -> DataFrame:
-    """Each key's best score over kinds, cut to 0..1; the kind that comes first on ties."""
-    cut = F.greatest(F.lit(0.0), F.least(F.col(score), F.lit(1.0)))
-    return scores.groupBy(key).agg(F.max_by(F.struct(cut.alias("score"), F.col(kind).alias("kind")), F.struct(F.col(score))).alias("b"), F.min(kind).alias("first")).select(key, F.col("b.score").alias("score"))
+    """(key, score, kind): each key's best score over kinds, cut to 0..1, and its kind; of equal scores that of the first kind."""
+    cut = F.greatest(F.lit(0.0), F.least(F.col("b.score"), F.lit(1.0)))
+    best = scores.groupBy(key).agg(F.min_by(F.struct(F.col(score).alias("score"), F.col(kind).alias("kind")), F.struct(-F.col(score), F.col(kind))).alias("b"))
+    return best.select(key, cut.alias("score"), F.col("b.kind").alias("kind"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:

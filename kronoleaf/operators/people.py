@@ -51,13 +51,18 @@ def events_by_chat(evidence: DataFrame, events: DataFrame, messages: DataFrame,
 
 
 def event_people(faces: DataFrame, chat: DataFrame) -> DataFrame:
-    """All links of events and people: by faces, by chat, and combined where both hold."""
+    """All links of events and people: by faces, by chat, and combined where both hold. Either side is read once, by one full join."""
     c = LINK_CONFIDENCE
-    zero = F.lit(0).cast("long")
-    a = faces.select("event_id", "person_id", F.lit("face_cluster").alias("source"), F.lit(c["event_face"]).alias("confidence"), F.col("face_count").alias("evidence_count"), "media_count", zero.alias("line_count"))
-    b = chat.select("event_id", "person_id", F.lit("line_speaker").alias("source"), F.lit(c["event_chat"]).alias("confidence"), F.col("line_count").alias("evidence_count"), zero.alias("media_count"), "line_count")
-    both = faces.join(chat, ["event_id", "person_id"]).select("event_id", "person_id", F.lit("combined").alias("source"), F.lit(c["combined"]).alias("confidence"), (F.col("face_count") + F.col("line_count")).alias("evidence_count"), "media_count", "line_count")
-    return a.unionByName(b).unionByName(both)
+    keys = ["event_id", "person_id"]
+    rows = faces.select(*keys, "face_count", "media_count").join(chat.select(*keys, "line_count"), keys, "full")
+    by_face, by_chat, zero = F.col("face_count").isNotNull(), F.col("line_count").isNotNull(), F.lit(0).cast("long")
+
+    def link(source: str, confidence: str, n: Column, media: Column, lines: Column) -> Column:
+        return F.struct(F.lit(source).alias("source"), F.lit(c[confidence]).alias("confidence"), n.alias("evidence_count"), media.alias("media_count"), lines.alias("line_count"))
+
+    face, media, line = (F.col(x).cast("long") for x in ("face_count", "media_count", "line_count"))
+    links = [F.when(by_face, link("face_cluster", "event_face", face, media, zero)), F.when(by_chat, link("line_speaker", "event_chat", line, zero, line)), F.when(by_face & by_chat, link("combined", "combined", face + line, media, line))]
+    return rows.select(*keys, F.inline(F.array_compact(F.array(*links))))
 
 
 def new_links(candidates: DataFrame, existing: DataFrame, keys: list[str], replace: Column | None = None) -> DataFrame:

@@ -175,6 +175,17 @@ def with_person(final: Column, person: Column, asked: bool) -> Column:
     return F.when(person > 0, F.round(F.least(F.lit(0.95), final + F.least(F.lit(0.28), person * 0.28)), 3)).otherwise(F.round(final * 0.55, 3) if asked else final)
 
 
+def words_of_days(messages: DataFrame, date: Column, text: Column) -> DataFrame:
+    """(date, text): of all that is said on a day, the words that `classified` asks for, each once.
+
+    All of its tests are containments, so these words decide them as the whole texts would; they are found message by message
+    below the shuffle, and no day's texts are ever brought together.
+    """
+    words = sorted({w for own in ACTUAL.values() for w in own} | {*PLANS, *MISSED, *UNSURE, "着いたら", "着くなら"})
+    found = F.explode(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
+    return messages.select(date.alias("date"), found.alias("word")).groupBy("date").agg(F.array_join(F.array_sort(F.collect_set("word")), "\n").alias("text"))
+
+
 def image_score(fields: Column, confidence: Column, gps: Column, event: Column, verified: Column, wrong: Column, person: Column, asked: bool = False) -> Column:
     """The score of an image search from its matched fields and what supports it."""
     bonus = lambda test, n: F.when(test, n).otherwise(0.0)

@@ -7,12 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _after(day: str) -> str:
+    """The least text above all that begin with `day`."""
+    return day[:-1] + chr(ord(day[-1]) + 1)
+
+
 def scan(rows: DataFrame, when: Column, *, date_from: str | None = None, date_to: str | None = None, order: list | None = None, most: int | None = None, **values: list | str | int) -> DataFrame:
-    """Rows of a range of dates (both ends included, by the first ten characters of `when`) whose columns have given values or
-    one of given lists. The filters are plain comparisons, which reach the files."""
-    day = F.substring(when, 1, 10)
-    tests = [day >= date_from] if date_from else []
-    tests += [day <= date_to] if date_to else []
+    """Rows of a range of dates (both ends included, by the first ten characters of `when`, a text) whose columns have given values or
+    one of given lists. The column itself is compared, so that the filters reach the files: a text
+    of a day comes before the day with a character after the last that a date can have."""
+    tests = [when >= date_from] if date_from else []
+    tests += [when < _after(date_to)] if date_to else []
     tests += [F.col(c).isin(v) if isinstance(v, list) else F.col(c) == v for c, v in values.items()]
     out = rows.where(reduce(lambda a, b: a & b, tests)) if tests else rows
     out = out.orderBy(*order) if order else out

@@ -144,7 +144,7 @@ def search_terms(query: Column) -> Column:
     parts = F.split(F.regexp_replace(F.regexp_replace(text, QUESTION_MARKS, " "), QUESTION_WORDS, " "), PARTICLES, -1)
     terms = F.array_distinct(F.filter(F.transform(F.concat(F.array(text), parts), clean), lambda v: (v != "") & ~v.isin(STOP_WORDS)))
     first = F.try_element_at(terms, F.lit(1))
-    rest = F.when((F.size(terms) > 1) & ((first == text) | (first == clean(text))), F.slice(terms, 2, 1000)).otherwise(terms)
+    rest = F.when((F.size(terms) > 1) & ((first == text) | (first == clean(text))), F.slice(terms, F.lit(2), F.size(terms))).otherwise(terms)
     return F.when(text == "", F.array().cast("array<string>")).when(F.size(rest) == 0, F.array(text)).otherwise(rest)
 
 

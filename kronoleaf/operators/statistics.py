@@ -58,7 +58,7 @@ def event_stats(events: DataFrame, evidence: DataFrame) -> DataFrame:
         "month": counted(events, F.substring("date", 1, 7)),
         "day": most(counted(events, "date"), 20),
         "title": most(counted(events, "title"), 50),
-        "confidence": measures(events, minimum=F.min(c), maximum=F.max(c)),
+        "confidence": measures(events, minimum=F.min(c), maximum=F.max(c), average=F.round(F.avg(c), 6)),
         "bucket": counted(events.where(c.isNotNull()), bucketed(c)),
         "evidence": counted(evidence, "evidence_type"),
         "modality": counted(events.join(kinds, "id", "left"), modality),
@@ -74,7 +74,7 @@ def call_stats(calls: DataFrame) -> DataFrame:
     s = F.col("duration_sec")
     return sections({
         "status": domain.join(counted(calls, "call_status"), "name", "left").fillna(0),
-        "duration": measures(done, total=F.coalesce(F.sum(s), F.lit(0)), counted=F.count(s), longest=F.coalesce(F.max(s), F.lit(0))),
+        "duration": measures(done, total=F.coalesce(F.sum(s), F.lit(0)), counted=F.count(s), longest=F.coalesce(F.max(s), F.lit(0)), average=F.round(F.avg(s), 6)),
         "longest": done.where(s.isNotNull()).orderBy(F.desc(s), "sent_at", "id").limit(10).select(F.col("id").alias("name"), s.alias("value")),
         "day": counted(calls, F.substring("sent_at", 1, 10)),
         "month": counted(calls, F.substring("sent_at", 1, 7)),
@@ -284,7 +284,7 @@ def ranking_metrics(results: DataFrame) -> DataFrame:
 def snapshot_summary(events: DataFrame, evidence: DataFrame, low: float = 0.5) -> DataFrame:
     c = F.col("confidence")
     return sections({
-        "events": measures(events, total=F.count("*"), low_confidence=F.count_if(c < low), edited=F.count_if(flag("is_user_edited"))),
+        "events": measures(events, total=F.count("*"), low_confidence=F.count_if(c < low), edited=F.count_if(flag("is_user_edited")), average=F.round(F.avg(c), 6)),
         "title": counted(events, "title"), "evidence": counted(evidence, "evidence_type"),
     })
 

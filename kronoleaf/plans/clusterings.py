@@ -35,7 +35,7 @@ def vector_bytes(t):
 @query("SELECT media_id, max(greatest(0::double, least(1::double, cast(embedding[1] AS double)*4))) AS score FROM media_vectors WHERE status='success' GROUP BY 1")
 def best_vector_of_media(t):
     scores = t("media_vectors").where("status = 'success'").select("media_id", "embedding_type", (F.get("embedding", F.lit(0)).cast("double") * 4).alias("s"))
-    return cl.best_of_each(scores, "media_id", "embedding_type", "s")
+    return cl.best_of_each(scores, "media_id", "embedding_type", "s").select("media_id", "score")
 
 
 _EDGES = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id<b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])>=0.4"

@@ -39,7 +39,7 @@ def day_results(t):
 
 
 def _full_days(t, intent):
-    texts = t("messages").where("text <> ''").groupBy(F.substring("sent_at", 1, 10).alias("date")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("sent_at", "id", "text"))).getField("text"), "\n").alias("text"))
+    texts = rk.words_of_days(t("messages").where("text <> ''"), F.substring("sent_at", 1, 10), F.col("text"))
     photos = t("media").groupBy(F.substring(F.coalesce("captured_at", "fallback_captured_at"), 1, 10).alias("date")).agg(F.count("*").alias("photos"), F.count("gps_lat").alias("gps"))
     calls = _calls(t).groupBy(F.substring("sent_at", 1, 10).alias("date")).agg(F.count_if(F.col("call_status") == "completed").alias("completed"), F.count_if(F.col("call_status").isin("missed", "unanswered", "canceled")).alias("incomplete"), F.max("duration_sec").alias("max_call_sec"))
     titles = search.overlaid_events(t("life_events"), t("overrides")).where("is_hidden = 0").groupBy("date").agg(F.bool_or(rk.held(F.col("title"), rk.TITLES[intent]) > 0).alias("actual_title"), F.bool_or(F.col("is_pinned") == 1).alias("pinned"), F.bool_or(F.col("is_verified") == 1).alias("verified"))

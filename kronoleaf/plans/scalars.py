@@ -31,16 +31,32 @@ def question_dates(t):
 @query(f"SELECT id, CASE WHEN contains(q,'何してた') THEN 'date_qa' WHEN contains(q,'まとめ') THEN 'time_range_summary' WHEN contains(q,'ラーメン') THEN 'specific_food_search' WHEN contains(q,'写真') THEN 'multimodal_image_search' ELSE 'place_visit' END AS intent, CASE WHEN contains(q,'何してた') THEN 'ask' WHEN contains(q,'まとめ') THEN 'event_summary' WHEN contains(q,'写真') THEN 'multimodal-search' ELSE 'search' END AS route, CASE WHEN contains(q,'新宿へ') THEN '日に新宿' END AS place FROM ({_ASKED})")
 def question_intents(t):
     """Intents of made-up questions; the SQL states what each form is."""
-    rows = _asked(t).withColumn("intent", qs.intent(F.col("q"), _range(F.col("q"))))
-    return rows.select("id", "intent", qs.route(F.col("intent")).alias("route"), F.regexp_extract(qs.place(F.col("q")), "(日に新宿)$", 1).alias("place")).withColumn("place", F.nullif("place", F.lit("")))
+    rows = _asked(t).withColumn("r", _range(F.col("q"))).withColumn("p", qs.place(F.col("q"))).withColumn("intent", qs.intent(F.col("q"), F.col("r"), F.col("p")))
+    return rows.select("id", "intent", qs.route(F.col("intent")).alias("route"), F.regexp_extract("p", "(日に新宿)$", 1).alias("place")).withColumn("place", F.nullif("place", F.lit("")))
 
 
 @query()
 def message_intents(t):
     """Intents, people, places and call states of the distinct messages taken as questions."""
     q = F.col("text")
-    rows = t("messages").where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
-    return rows.select("text", "n", qs.intent(q, _range(q)).alias("intent"), qs.person(q).alias("person"), qs.place(q).alias("place"), qs.call_status(q).alias("call_status"), qs.dish(q).alias("dish"))
+    rows = t("messages").where("text is not null").groupBy("text").agg(F.count("*").alias("n")).withColumn("r", _range(q)).withColumn("p", qs.place(q))
+    return rows.select("text", "n", qs.intent(q, F.col("r"), F.col("p")).alias("intent"), qs.person(q).alias("person"), F.col("p").alias("place"), qs.call_status(q).alias("call_status"), qs.dish(q).alias("dish"))
+
+
+@query(f"""SELECT id, CASE WHEN contains(q,'何してた') THEN 0.92::double WHEN contains(q,'まとめ') THEN 0.86::double WHEN contains(q,'ラーメン') THEN 0.9::double WHEN contains(q,'写真') THEN 0.86::double ELSE 0.84::double END AS confidence,
+CASE WHEN contains(q,'ラーメン') THEN 'ラーメン' ELSE '' END AS food_terms, CASE WHEN contains(q,'写真') THEN 'photo' WHEN contains(q,'ラーメン') THEN 'food' END AS activity FROM ({_ASKED})""")
+def question_confidence(t):
+    """How sure the intent of each event's question is, its food words and activity."""
+    q = F.col("q")
+    return _asked(t).select("id", qs.classified(q, _range(q)).confidence.alias("confidence"), F.array_join(qs.food_terms(q), ",").alias("food_terms"), qs.activity(q).alias("activity"))
+
+
+@query()
+def message_topics(t):
+    """Topic, terms, activity and coarse intent of the distinct messages taken as questions."""
+    q = F.col("text")
+    rows = t("messages").where("text is not null").select("text").distinct()
+    return rows.select("text", qs.topic(q).alias("topic"), F.array_join(qs.raw_terms(q), "|").alias("terms"), qs.activity(q).alias("activity"), qs.search_intent(q).alias("intent"), qs.classified(q, _range(q)).alias("c")).select("text", "topic", "terms", "activity", "intent", "c.confidence", "c.reason")
 
 
 @query("WITH f AS (SELECT sender, min((sent_at, id)) AS f FROM messages WHERE trim(sender)<>'' GROUP BY 1), n AS (SELECT sender, 'SENDER_'||row_number() OVER (ORDER BY f, sender) AS label FROM f) SELECT m.id, coalesce(n.label,'') AS label, substr(m.sent_at,1,7) AS month FROM messages m LEFT JOIN n ON n.sender = trim(m.sender)")

@@ -33,7 +33,7 @@ _MODALITY = "CASE WHEN coalesce(p,false) AND coalesce(l,false) THEN 'both' WHEN
 
 @query(_sections({
     "total": _one("life_events", events="count(*)"), "month": _count("life_events", "substr(date,1,7)"), "day": _most(_count("life_events", "date"), 20), "title": _most(_count("life_events", "title"), 50),
-    "confidence": _one("life_events", minimum="min(confidence)", maximum="max(confidence)"), "bucket": _count("life_events", _BUCKET, "confidence IS NOT NULL"), "evidence": _count("evidence", "evidence_type"),
+    "confidence": _one("life_events", minimum="min(confidence)", maximum="max(confidence)", average="round(avg(confidence),6)"), "bucket": _count("life_events", _BUCKET, "confidence IS NOT NULL"), "evidence": _count("evidence", "evidence_type"),
     "modality": _count("(SELECT e.id, k.p, k.l FROM life_events e LEFT JOIN (SELECT event_id, bool_or(evidence_type='photo') AS p, bool_or(evidence_type='line') AS l FROM evidence GROUP BY 1) k ON k.event_id = e.id)", _MODALITY),
     "low_confidence": "SELECT id AS name, confidence AS value FROM life_events ORDER BY confidence NULLS LAST, id LIMIT 20",
 }))
@@ -46,7 +46,7 @@ _C = f"({_CALLS})"
 
 @query(_sections({
     "status": f"SELECT d.name, count(c.id) AS value FROM (SELECT unnest(['completed','missed','unanswered','canceled','unknown']) AS name) d LEFT JOIN {_C} c ON c.call_status = d.name GROUP BY 1",
-    "duration": _one(_C, "call_status='completed'", total="coalesce(sum(duration_sec),0)", counted="count(duration_sec)", longest="coalesce(max(duration_sec),0)"),
+    "duration": _one(_C, "call_status='completed'", total="coalesce(sum(duration_sec),0)", counted="count(duration_sec)", longest="coalesce(max(duration_sec),0)", average="round(avg(duration_sec),6)"),
     "longest": f"SELECT id AS name, duration_sec AS value FROM {_C} WHERE call_status='completed' AND duration_sec IS NOT NULL ORDER BY duration_sec DESC, sent_at, id LIMIT 10",
     "day": _count(_C, "substr(sent_at,1,10)"), "month": _count(_C, "substr(sent_at,1,7)"), "sender": _most(_count(_C, "sender"), 20),
 }))
@@ -243,7 +243,7 @@ def ranking_metrics(t):
     return st.ranking_metrics(t("evidence").select(F.col("event_id").alias("case_id"), F.row_number().over(w).alias("rank"), (F.col("evidence_type") == "photo").alias("relevant")))
 
 
-@query(_sections({"events": _one("life_events", total="count(*)", low_confidence="count(*) FILTER (WHERE confidence<0.5)", edited="count(*) FILTER (WHERE is_user_edited=1)"), "title": _count("life_events", "title"), "evidence": _count("evidence", "evidence_type")}))
+@query(_sections({"events": _one("life_events", total="count(*)", low_confidence="count(*) FILTER (WHERE confidence<0.5)", edited="count(*) FILTER (WHERE is_user_edited=1)", average="round(avg(confidence),6)"), "title": _count("life_events", "title"), "evidence": _count("evidence", "evidence_type")}))
 def snapshot_summary(t):
     return st.snapshot_summary(t("life_events"), t("evidence"))
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kronoleaf.operators import clusters, metric, multimatch, multisearch, sparse
 
@@ -114,3 +115,21 @@ def test_candidates(spark):
     assert sorted((r.query_id, r.media_id) for r in got) == sorted(want)
     hits = multisearch.text_hits(spark.createDataFrame([(1, "a"), (1, "B"), (2, "zz"), (2, None)], "query_id int, term string"), spark.createDataFrame([(7, "A b", "x b"), (8, None, "nothing")], "id int, f string, g string"), "id", {"one": ["f", "g"], "two": ["g"]})
     assert {(r.query_id, r.id): (round(r.one, 2), round(r.two, 2)) for r in hits.collect()} == {(1, 7): (0.6, 0.3)}
+
+
+def test_scan_reaches_the_files(spark, tmp_path):
+    from kronoleaf.operators import scans
+
+    days = [f"2024-01-{d:02d} 1{d % 10}:00:00" for d in range(1, 29)] + ["2024-01-09", "2024-01-099", None]
+    spark.createDataFrame([(d, i % 3) for i, d in enumerate(days)], "sent_at string, k int").write.parquet(str(tmp_path / "t"))
+    out = scans.scan(spark.read.parquet(str(tmp_path / "t")), F.col("sent_at"), date_from="2024-01-04", date_to="2024-01-09", k=[1, 2])
+    assert {r.sent_at for r in out.collect()} == {d for i, d in enumerate(days) if d and i % 3 and "2024-01-04" <= d[:10] <= "2024-01-09"}
+    plan = out._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(sent_at,2024-01-04)" in plan and "LessThan(sent_at,2024-01-0:)" in plan and "In(k" in plan
+
+
+def test_threshold_edges_with_nulls(spark):
+    from kronoleaf.operators import vectors
+
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, None])], "id long, v array<double>")
+    assert [tuple(r) for r in vectors.threshold_edges(table, "id", "v", 0.9).collect()] == [(1, 2)]
