@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .multimatch import find_terms
 from .search import flag, truthy
 
 #: Confidence of links by their origin.
@@ -169,6 +170,19 @@ def speaker_listing(messages: DataFrame, links: DataFrame, persons: DataFrame) -
     return said.join(named, ["chat_id", "sender"], "left").fillna("", ["person_ids", "names"])
 
 
+def ranked_suggestions(speakers: DataFrame, persons: DataFrame, aliases: DataFrame, created: str, most: int = 10) -> DataFrame:
+    """(speaker_name, person_id, reason, rank): as `suggestions`, and people whose display name holds the speaker's text in either case; the
+    first `most` of each speaker in order of creation. All speakers are looked for in one pass over the names."""
+    asked = speakers.select(F.trim("speaker_name").alias("speaker_name")).where("speaker_name <> ''").distinct()
+    held = find_terms(persons.select(F.col("id").alias("person_id"), "display_name"), "person_id", ["display_name"], asked, "speaker_name")
+    inside = asked.withColumn("term", F.lower("speaker_name")).join(held, "term").select("speaker_name", "person_id", F.lit("name contains speaker text").alias("reason"))
+    number = F.when(F.col("reason").startswith("display"), 1).when(F.col("reason").startswith("public"), 2).when(F.col("reason").startswith("person"), 3).otherwise(4)
+    best = suggestions(asked, persons, aliases).unionByName(inside).groupBy("speaker_name", "person_id").agg(F.min_by("reason", number).alias("reason"))
+    order = Window.partitionBy("speaker_name").orderBy(created, "person_id")
+    rows = best.join(persons.select(F.col("id").alias("person_id"), created), "person_id").withColumn("rank", F.row_number().over(order))
+    return rows.where(F.col("rank") <= most).select("speaker_name", "person_id", "reason", "rank")
+
+
 def suggestions(speakers: DataFrame, persons: DataFrame, aliases: DataFrame) -> DataFrame:
     """(speaker_name, person_id, reason): people whose display name, public name or alias is the speaker's, by that priority."""
     p = persons.select(F.col("id").alias("person_id"), "display_name", "public_name")

@@ -191,6 +191,16 @@ def speaker_suggestions(t):
     return people.suggestions(speakers, t("persons"), t("aliases"))
 
 
+_PARTS = f"SELECT DISTINCT trim(speaker_name) AS speaker_name FROM (SELECT * FROM ({_SPEAKERS}) UNION ALL SELECT display_name FROM persons UNION ALL SELECT substr(public_name,2) FROM persons WHERE public_name IS NOT NULL) WHERE trim(speaker_name)<>''"
+
+
+@query(f"WITH s AS ({_PARTS}), x AS (SELECT s.speaker_name, p.id AS person_id, 1 AS k FROM s JOIN persons p ON p.display_name = s.speaker_name UNION ALL SELECT s.speaker_name, p.id, 2 FROM s JOIN persons p ON p.public_name = s.speaker_name UNION ALL SELECT s.speaker_name, a.person_id, 3 FROM s JOIN aliases a ON a.alias = s.speaker_name UNION ALL SELECT s.speaker_name, p.id, 4 FROM s JOIN persons p ON contains(lower(p.display_name), lower(s.speaker_name))), b AS (SELECT speaker_name, person_id, min(k) AS k FROM x GROUP BY 1,2) SELECT speaker_name, person_id, reason, cast(rank AS integer) AS rank FROM (SELECT b.speaker_name, b.person_id, CASE k WHEN 1 THEN 'display_name exact match' WHEN 2 THEN 'public_name exact match' WHEN 3 THEN 'person alias exact match' ELSE 'name contains speaker text' END AS reason, row_number() OVER (PARTITION BY b.speaker_name ORDER BY p.created_order, b.person_id) AS rank FROM b JOIN persons p ON p.id = b.person_id) WHERE rank<=10")
+def ranked_speaker_suggestions(t):
+    """The first ten people for each speaker, name, alias and piece of a name."""
+    names = t("messages").select(F.col("sender").alias("speaker_name")).union(t("aliases").select("alias")).union(t("persons").select("public_name")).union(t("persons").select("display_name")).union(t("persons").select(F.substring("public_name", 2, 100)))
+    return people.ranked_suggestions(names, t("persons"), t("aliases"), "created_order")
+
+
 @query("WITH n AS (SELECT id, created_order, display_name AS name FROM persons UNION ALL SELECT id, created_order, public_name FROM persons UNION ALL SELECT p.id, p.created_order, a.alias FROM persons p JOIN aliases a ON a.person_id = p.id), q AS (SELECT DISTINCT alias AS term FROM aliases) SELECT term, arg_min(id, created_order) AS person_id FROM q JOIN n ON trim(q.term) = n.name GROUP BY 1")
 def earliest_person(t):
     return people.earliest_person(t("aliases").select(F.col("alias").alias("term")).distinct(), "term", t("persons"), t("aliases"))
