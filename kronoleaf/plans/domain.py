@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 
 _AT = "substr(cast(ts as string), 1, 19)"
 _DAY = "concat('2024-01-', lpad(cast(o_orderkey % 30 + 1 as string), 2, '0'))"
+_CASE_DAY = "concat('2024-01-', lpad(cast(c_custkey % 29 + 1 as string), 2, '0'))"
+_CASE_LIST = "CASE c_custkey % 8 WHEN 1 THEN 'kind' WHEN 3 THEN 'call_status' WHEN 4 THEN 'day' WHEN 5 THEN 'source' WHEN 6 THEN 'media' ELSE 'evidence' END"
 
 TABLES: dict[str, str] = {
     "media": f"""SELECT concat('media_', event_id) AS id, concat('IMG_', event_id, '.jpg') AS file_name, concat('h', event_id % 1900) AS file_hash, 'image' AS media_type,
@@ -79,6 +81,18 @@ TABLES: dict[str, str] = {
     "person_clusters": """SELECT DISTINCT concat('person_', l_orderkey % 4000 % 120 % 50) AS person_id, concat('fc_', (l_orderkey % 4000) % 120) AS cluster_id, CASE WHEN (l_orderkey % 4000) % 120 % 3 = 0 THEN 0 ELSE 1 END AS is_verified FROM {lineitem}""",
     "media_vectors": """SELECT concat('media_', vec_id % 400) AS media_id, CASE WHEN vec_id < 400 THEN 'image' ELSE 'text' END AS embedding_type, embedding, CASE label WHEN 0 THEN 'failed' ELSE 'success' END AS status, CASE label WHEN 1 THEN 'fake_model' ELSE 'model_a' END AS embedding_model, vec_id FROM {embeddings}""",
     "image_queries": """SELECT vec_id AS query_id, embedding, CASE label % 4 WHEN 0 THEN 'ramen' WHEN 1 THEN 'meal' WHEN 2 THEN 'src5' ELSE 'indoor' END AS term_1, CASE label % 3 WHEN 0 THEN '新宿' WHEN 1 THEN 'カフェ' ELSE 'tion' END AS term_2 FROM {embeddings} WHERE vec_id % 20 = 0""",
+    "eval_cases": f"""SELECT concat('case_', c_custkey) AS case_id, CASE c_custkey % 8 WHEN 0 THEN 'date_qa' WHEN 1 THEN 'keyword_search' WHEN 2 THEN 'time_range_summary' WHEN 3 THEN 'call_search' WHEN 4 THEN 'place_qa' WHEN 5 THEN 'person_qa' WHEN 6 THEN 'image_search' ELSE 'voice_search' END AS type,
+        {_CASE_DAY} AS date_from, concat('2024-01-', lpad(cast(c_custkey % 29 + 1 + CASE WHEN c_custkey % 8 = 0 THEN 0 ELSE c_nationkey % 3 END as string), 2, '0')) AS date_to,
+        CASE c_custkey % 7 WHEN 0 THEN 'ランチ' WHEN 1 THEN ' カフェ ' WHEN 2 THEN '新宿' WHEN 3 THEN 'src5' WHEN 4 THEN 'Ramen' WHEN 5 THEN 'en picture' ELSE '渋谷' END AS query,
+        concat('place_', c_nationkey + c_custkey % 2) AS place_id, concat('person_', c_custkey) AS person_id FROM {{customer}}""",
+    "eval_expectations": f"""SELECT concat('case_', c_custkey) AS case_id, 'at_least' AS rule, CASE c_custkey % 8 WHEN 1 THEN 'score' WHEN 3 THEN 'calls' WHEN 6 THEN 'photos' ELSE 'events' END AS subject, cast(NULL as string) AS wanted, cast(c_custkey % 40 as double) AS bound FROM {{customer}}
+        UNION ALL SELECT concat('case_', c_custkey), 'at_most', CASE c_custkey % 8 WHEN 3 THEN 'longest' WHEN 6 THEN 'photos' ELSE 'confidence' END, cast(NULL as string), CASE c_custkey % 8 WHEN 3 THEN cast(638 + c_nationkey * 400 as double) WHEN 6 THEN cast(c_custkey as double) ELSE cast(90 + c_custkey % 11 as double) / 100 END FROM {{customer}}
+        UNION ALL SELECT concat('case_', c_custkey), 'includes', CASE c_custkey % 8 WHEN 3 THEN 'call_status' WHEN 5 THEN 'source' WHEN 6 THEN 'media' ELSE 'day' END, CASE c_custkey % 8 WHEN 3 THEN 'missed' WHEN 5 THEN 'face' WHEN 6 THEN concat('media_', c_custkey % 303) ELSE {_CASE_DAY} END, cast(c_nationkey + 4 as double) FROM {{customer}}
+        UNION ALL SELECT concat('case_', c_custkey), 'excludes', CASE c_custkey % 8 WHEN 6 THEN 'media' WHEN 3 THEN 'call_status' ELSE 'day' END, CASE c_custkey % 8 WHEN 6 THEN concat('media_', c_custkey % 101) WHEN 3 THEN 'unknown' ELSE '2024-01-09' END, CASE c_custkey % 8 WHEN 3 THEN NULL ELSE cast(3 as double) END FROM {{customer}}
+        UNION ALL SELECT concat('case_', c_custkey), 'any_of', {_CASE_LIST}, CASE c_custkey % 8 WHEN 3 THEN 'canceled' WHEN 4 THEN '2024-01-30' WHEN 6 THEN 'media_7' ELSE 'line' END, cast(NULL as double) FROM {{customer}}
+        UNION ALL SELECT concat('case_', c_custkey), 'any_of', {_CASE_LIST}, CASE c_custkey % 8 WHEN 1 THEN 'event' WHEN 3 THEN 'completed' WHEN 4 THEN {_CASE_DAY} WHEN 5 THEN 'face' WHEN 6 THEN concat('media_', c_custkey % 503) ELSE 'ocr' END, cast(NULL as double) FROM {{customer}}
+        UNION ALL SELECT concat('case_', c_custkey), 'mentions', CASE c_custkey % 8 WHEN 0 THEN 'title' WHEN 2 THEN 'title' ELSE {_CASE_LIST} END, CASE c_custkey % 8 WHEN 0 THEN '通話' WHEN 2 THEN 'カフェ' WHEN 1 THEN 'e' WHEN 4 THEN '-01-' WHEN 6 THEN '_1' ELSE 'c' END, cast(NULL as double) FROM {{customer}}
+        UNION ALL SELECT concat('case_', c_custkey), 'lacks', 'title', CASE WHEN c_nationkey % 2 = 0 THEN '確実に' ELSE 'edited' END, cast(NULL as double) FROM {{customer}}""",
     "job_items": """SELECT concat('job_', l_orderkey) AS job_id, concat('media_', l_partkey) AS item_id, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'success' ELSE CASE l_linestatus WHEN 'O' THEN 'skipped' ELSE 'pending' END END AS status FROM {lineitem}""",
 }
 _DRIVER = re.compile(r"\{(\w+)\}")
