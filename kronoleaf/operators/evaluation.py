@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..checkpoints import written
 from . import multimatch
 from .search import flag
 
@@ -135,6 +136,7 @@ def keyword_answers(cases: DataFrame, texts: DataFrame) -> DataFrame:
     """
     flat = texts.select(F.concat_ws("|", "kind", "date", "weight").alias("at"), "text")
     hits = multimatch.find_terms(flat, "at", ["text"], cases, "query").groupBy("term", "at").agg(F.count("*").alias("n"))
+    hits = written(hits)
     part = F.split("at", r"\|")
     split = hits.select("term", part[0].alias("kind"), part[1].alias("date"), (part[2].cast("double") * F.col("n")).alias("score"), "n")
     days = split.groupBy("term", "date").agg(F.sum("score").alias("score"))
@@ -188,7 +190,7 @@ def person_answers(cases: DataFrame, persons: DataFrame, event_people: DataFrame
 
 def image_answers(cases: DataFrame, captions: DataFrame, most: int = 20) -> DataFrame:
     """Facts of cases (case_id, query) over captions (media_id, caption, confidence) that may be shown: how many photos, and the first `most`."""
-    hits = multimatch.find_terms(captions, "media_id", ["caption"], cases, "query").select("media_id", "term")
+    hits = written(multimatch.find_terms(captions, "media_id", ["caption"], cases, "query").select("media_id", "term"))
     scored = hits.join(captions.select("media_id", "confidence"), "media_id")
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc_nulls_last("confidence"), "media_id"))).where(F.col("rank") <= most)
     asked = cases.select("case_id", F.lower(F.trim("query")).alias("term"))

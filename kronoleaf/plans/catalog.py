@@ -52,7 +52,7 @@ def oracle_sql():
 
 def _load() -> None:
     """Register the queries of the other modules, which use `query`."""
-    for name in ("searches", "links", "statistics", "construction", "rankings", "clusterings", "scalars", "upkeep", "evaluations", "scanning", "retrieval", "cases"):
+    for name in ("searches", "links", "statistics", "construction", "rankings", "clusterings", "scalars", "upkeep", "evaluations", "scanning", "retrieval", "cases", "months"):
         if importlib.util.find_spec(f"{__package__}.{name}"):
             importlib.import_module(f"{__package__}.{name}")
 

@@ -93,6 +93,8 @@ TABLES: dict[str, str] = {
         UNION ALL SELECT concat('case_', c_custkey), 'any_of', {_CASE_LIST}, CASE c_custkey % 8 WHEN 1 THEN 'event' WHEN 3 THEN 'completed' WHEN 4 THEN {_CASE_DAY} WHEN 5 THEN 'face' WHEN 6 THEN concat('media_', c_custkey % 503) ELSE 'ocr' END, cast(NULL as double) FROM {{customer}}
         UNION ALL SELECT concat('case_', c_custkey), 'mentions', CASE c_custkey % 8 WHEN 0 THEN 'title' WHEN 2 THEN 'title' ELSE {_CASE_LIST} END, CASE c_custkey % 8 WHEN 0 THEN '通話' WHEN 2 THEN 'カフェ' WHEN 1 THEN 'e' WHEN 4 THEN '-01-' WHEN 6 THEN '_1' ELSE 'c' END, cast(NULL as double) FROM {{customer}}
         UNION ALL SELECT concat('case_', c_custkey), 'lacks', 'title', CASE WHEN c_nationkey % 2 = 0 THEN '確実に' ELSE 'edited' END, cast(NULL as double) FROM {{customer}}""",
+    "date_ranges": f"""SELECT DISTINCT concat(date_from, '/', date_to) AS range_id, date_from, date_to FROM (SELECT {_CASE_DAY} AS date_from, concat('2024-01-', lpad(cast(c_custkey % 29 + 1 + c_nationkey % 3 as string), 2, '0')) AS date_to FROM {{customer}}
+        UNION ALL SELECT '2024-01-01', '2024-01-31' FROM {{customer}})""",
     "job_items": """SELECT concat('job_', l_orderkey) AS job_id, concat('media_', l_partkey) AS item_id, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'success' ELSE CASE l_linestatus WHEN 'O' THEN 'skipped' ELSE 'pending' END END AS status FROM {lineitem}""",
 }
 _DRIVER = re.compile(r"\{(\w+)\}")
