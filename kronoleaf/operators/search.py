@@ -11,6 +11,8 @@ from ..functions.text import any_term
 PLACE_FIELDS = ["display_name", "public_name", "category", "aliases_json"]
 EVENT_FIELDS = ["title", "summary", "location_name", "title_override", "summary_override", "location_name_override", "tags_json"]
 VLM_FIELDS = ["caption", "short_caption", "scene_tags_json", "activity_tags_json", "food_cues_json", "location_cues_json"]
+#: Fields of a model's row that a review may replace, and the review's columns for them.
+REPLACED = {"caption": "caption_override", "short_caption": "short_caption_override"} | {f"{c}_json": f"{c}_override_json" for c in ("scene_tags", "object_tags", "activity_tags", "food_cues", "location_cues")}
 
 
 def flag(column: str, default: int = 0) -> Column:
@@ -44,14 +46,14 @@ def untrusted(status: str = "status", engine: str = "vlm_engine") -> Column:
 
 
 def effective_vlm(vlm: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Model rows under their reviews: an override that is not empty wins, flags take their defaults."""
+    """Model rows under their reviews: an override that is not empty wins in every field that has one, flags take their defaults."""
     rows = vlm.join(overrides, "media_id", "left")
+    replaced = {c: o for c, o in REPLACED.items() if c in vlm.columns and o in overrides.columns}
     return (
-        rows.withColumn("caption", F.coalesce(truthy("caption_override"), "caption"))
-        .withColumn("short_caption", F.coalesce(truthy("short_caption_override"), "short_caption"))
+        rows.withColumns({c: F.coalesce(truthy(o), c) for c, o in replaced.items()})
         .withColumn("review_status", F.coalesce(truthy("review_status"), F.lit("unreviewed")))
         .withColumns({c: F.coalesce(F.col(c), F.lit(d)).cast("int") for c, d in (("is_verified", 0), ("is_hidden", 0), ("is_wrong", 0), ("is_searchable", 1), ("is_event_usable", 1))})
-        .drop("caption_override", "short_caption_override")
+        .drop(*REPLACED.values())
     )
 
 
@@ -65,6 +67,28 @@ def search_vlm(vlm: DataFrame, overrides: DataFrame, terms: list[str]) -> DataFr
     return effective_vlm(vlm, overrides).where(usable("search") & any_term(VLM_FIELDS, terms))
 
 
+def vlm_candidates(vlm: DataFrame, overrides: DataFrame, ocr: DataFrame, media: DataFrame, terms: list[str], date_from: str | None = None, date_to: str | None = None, with_hidden: bool = False) -> DataFrame:
+    """(media_id, date) of trusted model rows that hold a term in any of ten fields: the replaceable ones, text cues, recognised
+    text and file name.
+
+    Here any override that is there, even an empty one, stands in front of the model's own text. Recognised texts are searched where
+    they are, and only their hits are joined.
+    """
+    when = F.substring(F.coalesce("captured_at", "fallback_captured_at"), 1, 10)
+    own = media.select(F.col("id").alias("media_id"), when.alias("date"), any_term(["file_name"], terms).alias("by_name"))
+    tests = [F.col("date") >= date_from] if date_from else []
+    tests += [F.col("date") <= date_to] if date_to else []
+    dated = reduce(DataFrame.where, tests, own)
+    read = ocr.where(any_term(["ocr_text"], terms)).select("media_id", F.lit(True).alias("by_ocr")).distinct()
+    rows = vlm.where((F.col("status") == "success") & ~untrusted()).join(overrides, "media_id", "left")
+    rows = rows.select("media_id", *[F.col(c) for c in ("is_hidden", "is_wrong", "is_searchable", "review_status")], *[F.coalesce(o, c).alias(c) for c, o in REPLACED.items()], "text_cues_json")
+    if not with_hidden:
+        state = F.coalesce("review_status", F.lit("unreviewed"))
+        rows = rows.where(~flag("is_hidden") & ~flag("is_wrong") & flag("is_searchable", 1) & ~state.isin("rejected", "wrong"))
+    marked = rows.select("media_id", any_term([*REPLACED, "text_cues_json"], terms).alias("by_text")).join(dated, "media_id").join(read, "media_id", "left")
+    return marked.where(F.col("by_text") | F.col("by_name") | F.coalesce("by_ocr", F.lit(False))).select("media_id", "date")
+
+
 def search_ocr(ocr: DataFrame, terms: list[str]) -> DataFrame:
     return ocr.where((F.col("status") == "success") & any_term(["ocr_text", "ocr_text_redacted"], terms))
 
@@ -114,18 +138,32 @@ def event_queue(rows: DataFrame, *, date_from=None, date_to=None, confidence_lte
     return rows.where(reduce(lambda a, b: a & b, keep)).orderBy(F.desc("is_pinned"), "date", "start_time", "id")
 
 
-def vlm_queue(rows: DataFrame, *, review_status=None, safety_flags=False, people_present=False, low_confidence=None, food_cues=False, has_ocr: DataFrame | None = None, has_embedding: DataFrame | None = None, without_event: DataFrame | None = None, hidden=None) -> DataFrame:
-    """The model review queue's filters over effective rows; the last three are semi and anti joins on media_id."""
+def vlm_queue(
+    rows: DataFrame, *, review_status=None, unreviewed=False, safety_flags=False, people_present=False, low_confidence=None, food_cues=False, location_cues=False, hidden=None, wrong=None,
+    is_searchable=None, is_event_usable=None, date_from=None, date_to=None, dates: DataFrame | None = None, has_ocr: DataFrame | None = None, without_ocr: DataFrame | None = None,
+    has_embedding: DataFrame | None = None, with_event: DataFrame | None = None, without_event: DataFrame | None = None,
+) -> DataFrame:
+    """The model review queue's filters over effective rows.
+
+    The tables given are semi and anti joins on media_id; a row of the model alone is one without_ocr and without_event. `dates`
+    (media_id, date) is asked for with date_from or date_to, between which a row's date must lie.
+    """
     filled = lambda c: F.coalesce(F.size(F.from_json(c, "array<string>")), F.lit(0)) > 0
     keep = [F.lit(True)]
     keep += [F.col("review_status") == review_status] if review_status else []
-    keep += [filled("safety_flags_json")] if safety_flags else []
+    keep += [F.col("review_status") == "unreviewed"] if unreviewed else []
+    keep += [filled(f"{c}_json") for c, on in (("safety_flags", safety_flags), ("food_cues", food_cues), ("location_cues", location_cues)) if on]
     keep += [F.col("people_count") > 0] if people_present else []
     keep += [F.col("confidence") <= low_confidence] if low_confidence is not None else []
-    keep += [filled("food_cues_json")] if food_cues else []
-    keep += [flag("is_hidden") == F.lit(hidden)] if hidden is not None else []
+    keep += [flag(c) == F.lit(wanted) for c, wanted in (("is_hidden", hidden), ("is_wrong", wrong)) if wanted is not None]
+    keep += [flag(c, 1) == F.lit(wanted) for c, wanted in (("is_searchable", is_searchable), ("is_event_usable", is_event_usable)) if wanted is not None]
     out = rows.where(reduce(lambda a, b: a & b, keep))
-    for other, how in ((has_ocr, "left_semi"), (has_embedding, "left_semi"), (without_event, "left_anti")):
+    within = None
+    if date_from or date_to:
+        if dates is None:
+            raise ValueError("date_from and date_to need dates")
+        within = dates.where((F.col("date") >= date_from if date_from else F.lit(True)) & (F.col("date") <= date_to if date_to else F.lit(True)))
+    for other, how in ((within, "left_semi"), (has_ocr, "left_semi"), (without_ocr, "left_anti"), (has_embedding, "left_semi"), (with_event, "left_semi"), (without_event, "left_anti")):
         out = out if other is None else out.join(other.select("media_id").distinct(), "media_id", how)
     return out
 

@@ -53,9 +53,12 @@ TABLES: dict[str, str] = {
     "vlm": """SELECT concat('media_', doc_id) AS media_id, concat(source, ' ', lang, ' picture of ramen') AS caption, CASE WHEN lang <> 'de' THEN concat(lang, ' meal') END AS short_caption,
         concat('["', lang, '","', source, '","indoor"]') AS scene_tags_json, CASE WHEN lang = 'en' THEN '["ramen_possible"]' ELSE '[]' END AS food_cues_json, '["walk"]' AS activity_tags_json,
         CASE WHEN lang = 'es' THEN 'station, shop' END AS location_cues_json, CASE WHEN lang = 'de' THEN '["forbidden_terms_found"]' END AS safety_flags_json,
+        concat('["', source, '_object"]') AS object_tags_json, CASE lang WHEN 'fr' THEN '["exit sign"]' END AS text_cues_json,
         CASE WHEN source IN ('src1', 'src2') THEN 'fake_vlm' ELSE 'model_a' END AS vlm_engine, CASE WHEN source = 'src3' THEN 'failed' ELSE 'success' END AS status,
         cast(doc_id % 3 as int) AS people_count, cast(doc_id % 101 as double) / 100 AS confidence, concat('2024-01-', lpad(cast(doc_id % 30 + 1 as string), 2, '0')) AS analyzed_at FROM {documents}""",
     "vlm_overrides": """SELECT concat('media_', doc_id) AS media_id, CASE WHEN quality = 0 THEN 'corrected caption' END AS caption_override, CASE WHEN toxic = 1 THEN '' END AS short_caption_override,
+        CASE WHEN doc_id % 5 = 0 THEN '["corrected","outdoor"]' WHEN toxic = 1 THEN '' END AS scene_tags_override_json, CASE WHEN doc_id % 7 = 0 THEN '["table"]' END AS object_tags_override_json, CASE WHEN doc_id % 11 = 0 THEN '["cycling"]' END AS activity_tags_override_json,
+        CASE WHEN quality = 0 THEN '["noodles"]' END AS food_cues_override_json, CASE WHEN doc_id % 3 = 0 THEN '' WHEN quality = 0 THEN '["harbour"]' END AS location_cues_override_json,
         quality AS is_verified, toxic AS is_hidden, CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END AS is_wrong, CASE WHEN toxic = 1 THEN 0 ELSE 1 END AS is_searchable,
         CASE WHEN quality = 0 THEN 0 ELSE 1 END AS is_event_usable, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'needs_review' END AS review_status FROM {labels}""",
     "persons": """SELECT concat('person_', c_custkey) AS id, c_name AS display_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN concat('P', c_custkey) END AS public_name, concat('["ali', c_custkey, '","ali', c_custkey % 50, '"]') AS aliases_json,

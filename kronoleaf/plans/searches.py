@@ -24,7 +24,7 @@ def _placed(links: str, key: str, terms: list[str]) -> str:
 _EVENT_TERMS = ["食事", "edited", "japan", "private"]
 _EVENTS = f"SELECT e.id FROM life_events e LEFT JOIN overrides o ON o.event_id = e.id WHERE coalesce(o.is_hidden, 0) = 0 AND ({_like([*search.EVENT_FIELDS], _EVENT_TERMS)} OR e.id IN {_placed('event_places', 'event_id', _EVENT_TERMS)})"
 _FAKE = "(lower(status) <> 'success' OR contains(lower(vlm_engine), 'fake'))"
-_EFFECTIVE = """SELECT v.media_id, coalesce(nullif(o.caption_override,''), v.caption) AS caption, coalesce(nullif(o.short_caption_override,''), v.short_caption) AS short_caption, v.scene_tags_json, v.activity_tags_json, v.food_cues_json, v.location_cues_json, v.safety_flags_json,
+_EFFECTIVE = """SELECT v.media_id, coalesce(nullif(o.caption_override,''), v.caption) AS caption, coalesce(nullif(o.short_caption_override,''), v.short_caption) AS short_caption, coalesce(nullif(o.scene_tags_override_json,''), v.scene_tags_json) AS scene_tags_json, coalesce(nullif(o.object_tags_override_json,''), v.object_tags_json) AS object_tags_json, coalesce(nullif(o.activity_tags_override_json,''), v.activity_tags_json) AS activity_tags_json, coalesce(nullif(o.food_cues_override_json,''), v.food_cues_json) AS food_cues_json, coalesce(nullif(o.location_cues_override_json,''), v.location_cues_json) AS location_cues_json, v.text_cues_json, v.safety_flags_json,
  v.status, v.vlm_engine, v.people_count, v.confidence, v.analyzed_at, coalesce(o.is_verified,0) AS is_verified, coalesce(o.is_hidden,0) AS is_hidden, coalesce(o.is_wrong,0) AS is_wrong, coalesce(o.is_searchable,1) AS is_searchable, coalesce(o.is_event_usable,1) AS is_event_usable, coalesce(nullif(o.review_status,''),'unreviewed') AS review_status
  FROM vlm v LEFT JOIN vlm_overrides o ON o.media_id = v.media_id"""
 _USABLE = f"NOT {_FAKE} AND is_hidden = 0 AND is_wrong = 0 AND is_searchable = 1 AND review_status NOT IN ('rejected','wrong')"
@@ -155,3 +155,42 @@ def visual_expansion(t):
     words = [("ランチ", 1, ["ランチ", "meal", "food"]), ("カフェ", 2, ["カフェ", "cafe", "food"]), ("映画", 3, ["映画", "movie"])]
     triggers = t("messages").sparkSession.createDataFrame(words, "trigger string, place int, terms array<string>")
     return search.expanded_terms(t("messages").where("text <> ''").select("text").distinct(), "text", triggers).select("text", F.array_join("terms", ",").alias("terms"))
+
+
+_EVERY = ["sign", "table", "secret", "IMG_77"]
+_FRONT = ", ".join(f"coalesce(o.{o},v.{c}) AS {c}" for c, o in search.REPLACED.items())
+_WHEN = "substr(coalesce(captured_at, fallback_captured_at),1,10)"
+
+
+@query(f"""SELECT x.media_id, m.date FROM (SELECT v.media_id, v.text_cues_json, {_FRONT} FROM vlm v LEFT JOIN vlm_overrides o ON o.media_id=v.media_id WHERE v.status='success' AND NOT contains(lower(v.vlm_engine),'fake')
+ AND coalesce(o.is_hidden,0)=0 AND coalesce(o.is_wrong,0)=0 AND coalesce(o.is_searchable,1)=1 AND coalesce(o.review_status,'unreviewed') NOT IN ('rejected','wrong')) x JOIN (SELECT id, file_name, {_WHEN} AS date FROM media) m ON m.id=x.media_id
+ WHERE m.date BETWEEN '2024-01-02' AND '2024-01-28' AND ({_like([*search.REPLACED, "text_cues_json", "file_name"], _EVERY)} OR x.media_id IN (SELECT media_id FROM ocr WHERE {_like(["ocr_text"], _EVERY)}))""")
+def vlm_candidates(t):
+    """Model rows of a range that hold a term in any of their ten fields."""
+    return search.vlm_candidates(t("vlm"), t("vlm_overrides"), t("ocr"), t("media"), _EVERY, "2024-01-02", "2024-01-28")
+
+
+@query(f"SELECT media_id, {', '.join(c for c in search.REPLACED)} FROM ({_EFFECTIVE})")
+def vlm_replaced(t):
+    """Every field of a model's row that a review may replace, as it holds after the review."""
+    return search.effective_vlm(t("vlm"), t("vlm_overrides")).select("media_id", *search.REPLACED)
+
+
+_LINKED = "SELECT evidence_id FROM evidence WHERE evidence_type IN ('photo','vlm')"
+
+
+@query(f"SELECT media_id, is_searchable, is_event_usable FROM ({_EFFECTIVE}) WHERE CASE WHEN json_valid(location_cues_json) THEN json_array_length(location_cues_json) > 0 END AND is_wrong=0 AND is_searchable=1 AND is_event_usable=0 AND media_id IN ({_LINKED}) AND media_id IN (SELECT id FROM media WHERE {_WHEN} BETWEEN '2024-01-02' AND '2024-01-28')")
+def vlm_review_linked(t):
+    """Rows with cues of a location, good for search but not for events, of media in events and in a range of dates."""
+    linked = t("evidence").where(F.col("evidence_type").isin("photo", "vlm")).select(F.col("evidence_id").alias("media_id"))
+    dates = t("media").select(F.col("id").alias("media_id"), F.substring(F.coalesce("captured_at", "fallback_captured_at"), 1, 10).alias("date"))
+    rows = search.vlm_queue(search.effective_vlm(t("vlm"), t("vlm_overrides")), location_cues=True, wrong=False, is_searchable=True, is_event_usable=False, with_event=linked, dates=dates, date_from="2024-01-02", date_to="2024-01-28")
+    return rows.select("media_id", "is_searchable", "is_event_usable")
+
+
+@query(f"SELECT media_id, review_status FROM ({_EFFECTIVE}) WHERE review_status='unreviewed' AND media_id NOT IN (SELECT media_id FROM ocr WHERE status='success' AND ocr_text<>'') AND media_id NOT IN (SELECT evidence_id FROM evidence WHERE evidence_type='vlm' AND weight=0.1)")
+def vlm_review_alone(t):
+    """Rows without a review that nothing but the model speaks for: no recognised text, no event with evidence of some weight."""
+    linked = t("evidence").where("evidence_type = 'vlm' and weight = 0.1d").select(F.col("evidence_id").alias("media_id"))
+    rows = search.vlm_queue(search.effective_vlm(t("vlm"), t("vlm_overrides")), unreviewed=True, without_ocr=t("ocr").where("status = 'success' and ocr_text <> ''"), without_event=linked)
+    return rows.select("media_id", "review_status")
