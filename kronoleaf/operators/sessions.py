@@ -1,9 +1,13 @@
 """Gap sessions, order-dependent sessions and cross-kind merges."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
 from math import asin, cos, radians, sin, sqrt
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.timeutil import day, micros
 
@@ -49,22 +53,43 @@ class PlaceFold:
         return self.session
 
 
+def folded(rows: DataFrame, by: list[str], order: list[Column], step: Callable[[], Callable[..., int]], inputs: list[str], name: str) -> DataFrame:
+    """`rows` with a number `name` each, which a fold of each group gives in order: `step()` makes a group's fold, a function of `inputs`.
+
+    Groups stream through a task one after the other, whatever their number and size; only the fold's own state is held.
+    """
+    start = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    schema = StructType([*rows.schema.fields, StructField(name, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = None
+        for batch in batches:
+            out = []
+            for new, *x in zip(batch.column("__start").to_pylist(), *[batch.column(c).to_pylist() for c in inputs], strict=True):
+                if new:
+                    fold = step()
+                out.append(fold(*x))
+            kept = [i for i, c in enumerate(batch.schema.names) if c != "__start"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(out, pa.int64())], [*[batch.schema.names[i] for i in kept], name])
+
+    return rows.withColumn("__start", start).mapInArrow(run, schema)
+
+
 def place_sessions(facts: DataFrame, key: str, ts: str, order: str, gap_minutes: int = 90, far_metres: float = 500) -> DataFrame:
     """(key, day, order, session): also broken where an item lies far from all located items of its session.
 
-    The rule depends on all earlier members, so each key and day is folded in one
-    small group; lat and lon may be null, which never breaks a session. Key and order may be of any type.
+    The rule depends on all earlier members, so each key and day is folded in order of
+    time; lat and lon may be null, which never breaks a session. Key and order may be of any type.
     """
-    kinds = dict(facts.dtypes)
-    schema = f"`{key}` {kinds[key]}, day string, `{order}` {kinds[order]}, session long"
+    at = F.coalesce(micros(F.col(ts)), F.lit(0))
+    rows = facts.withColumn("day", day(ts)).select(key, "day", order, at.alias("at"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", order])
+    def step() -> Callable[..., int]:
         one = PlaceFold(gap_minutes, far_metres)
-        out = [one.add(*x) for x in zip(pdf["day"], pdf["at"], pdf["lat"], pdf["lon"], strict=True)]
-        return pd.DataFrame({key: pdf[key], "day": pdf["day"], order: pdf[order], "session": out})
+        return lambda at, lat, lon: one.add("", at, lat, lon)
 
-    return facts.withColumn("day", day(ts)).select(key, "day", order, micros(F.col(ts)).alias("at"), "lat", "lon").groupBy(key, "day").applyInPandas(fold, schema)
+    got = folded(rows, [key, "day"], [F.col("at"), F.asc_nulls_last(order)], step, ["at", "lat", "lon"], "session")
+    return got.select(key, "day", order, "session")
 
 
 def merge_kinds(clusters: DataFrame, key: str, window_minutes: int = 90) -> DataFrame:
@@ -73,21 +98,24 @@ def merge_kinds(clusters: DataFrame, key: str, window_minutes: int = 90) -> Data
     In order of start and end, a cluster joins the last merged one if their kinds
     differ (or the last is mixed) and they overlap or lie at most the window apart.
     """
-    schema = f"`{key}` {dict(clusters.dtypes)[key]}, day string, merged long, kinds string, n long, start_at timestamp_ntz, end_at timestamp_ntz"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in pdf.sort_values(["start_at", "end_at", "kind"]).to_dict("records"):
-            last = out[-1] if out else None
-            gap = max(0.0, (r["start_at"] - last["end_at"]).total_seconds()) if last else 0
-            if last and gap <= window_minutes * 60 and (len(last["kinds"]) > 1 or r["kind"] not in last["kinds"]):
-                last["kinds"].add(r["kind"])
-                last["n"] += r["n"]
-                last["end_at"] = max(last["end_at"], r["end_at"])
-            else:
-                out.append({key: r[key], "day": r["day"], "merged": len(out) + 1, "kinds": {r["kind"]}, "n": r["n"], "start_at": r["start_at"], "end_at": r["end_at"]})
-        for r in out:
-            r["kinds"] = ",".join(sorted(r["kinds"]))
-        return pd.DataFrame(out)
-
-    return clusters.groupBy(key, "day").applyInPandas(fold, schema)
+    ends = {"__start_at": "start_at", "__end_at": "end_at"}
+    rows = clusters.select(key, "day", "kind", "n", "start_at", "end_at", *[F.coalesce(micros(F.col(c)), F.lit(0)).alias(a) for a, c in ends.items()])
+    order = [F.asc_nulls_last(c) for c in ("start_at", "end_at", "kind")]
+    got = folded(rows, [key, "day"], order, lambda: MergeFold(window_minutes), ["kind", *ends], "merged")
+    kinds = F.array_join(F.array_sort(F.collect_set("kind")), ",")
+    return got.groupBy(key, "day", "merged").agg(kinds.alias("kinds"), F.sum("n").cast("long").alias("n"), F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at"))
+
+
+class MergeFold:
+    """Numbers, from 1, of the merged clusters that clusters in order of start join; called with a cluster's kind, start and end."""
+
+    def __init__(self, window_minutes: int):
+        self.window, self.number, self.kinds, self.end = window_minutes * 60_000_000, 0, set(), 0
+
+    def __call__(self, kind: str, start: int, end: int) -> int:
+        if self.number and start - self.end <= self.window and (len(self.kinds) > 1 or kind not in self.kinds):
+            self.kinds.add(kind)
+            self.end = max(self.end, end)
+        else:
+            self.number, self.kinds, self.end = self.number + 1, {kind}, end
+        return self.number

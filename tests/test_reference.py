@@ -1,7 +1,7 @@
 """Operators against their SQL and small golden facts."""
 
 from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
@@ -91,6 +91,42 @@ def test_kinds_merge_across_only(spark):
     assert [(r.kinds, r.n) for r in sessions.merge_kinds(df, "u").collect()] == [("line,photo", 4)]
 
 
+def test_kinds_of_many_small_groups_stream_through_tasks(spark):
+    """A call of Python for each of very many small groups took longer than the limit; groups stream now, with null keys, ties and equal ends."""
+    rng = np.random.default_rng(7)
+    at = lambda m: datetime(2025, 1, 1) + timedelta(minutes=int(m))
+    rows = [(None if i % 50 == 0 else f"u{i % 7}", f"d{i % 2}", "line" if rng.random() < 0.5 else "photo", i + 1, at(s), at(s + rng.integers(0, 40))) for i in range(400) for s in [rng.integers(0, 1200)]]
+    df = spark.createDataFrame(rows, "u string, day string, kind string, n long, start_at timestamp_ntz, end_at timestamp_ntz")
+    want = set()
+    for group in {r[:2] for r in rows}:
+        merged = []
+        for r in sorted((r for r in rows if r[:2] == group), key=lambda r: (r[4], r[5], r[2])):
+            last = merged[-1] if merged else None
+            if last and (r[4] - last[3]).total_seconds() <= 5400 and (len(last[0]) > 1 or r[2] not in last[0]):
+                last[0].add(r[2])
+                last[1], last[3] = last[1] + r[3], max(last[3], r[5])
+            else:
+                merged.append([{r[2]}, r[3], r[4], r[5]])
+        want |= {(*group, n, ",".join(sorted(m[0])), *m[1:]) for n, m in enumerate(merged, 1)}
+    got = sessions.merge_kinds(df, "u")
+    assert {tuple(r) for r in got.collect()} == want and got.dtypes[2:5] == [("merged", "bigint"), ("kinds", "string"), ("n", "bigint")]
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
+def test_places_of_many_small_groups_stream_through_tasks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 40, i, datetime(2025, 1, 1 + i % 3, 10) + timedelta(minutes=int(rng.integers(0, 600))), *((float(35 + rng.integers(0, 3) / 100), 139.0) if i % 3 else (None, None))) for i in range(600)] + [(None, 900, None, 35.0, 139.0), (None, 901, None, 36.0, 139.0)]
+    df = spark.createDataFrame(rows, "u long, i long, ts timestamp_ntz, lat double, lon double")
+    want = set()
+    for group in {(r[0], r[2] and r[2].date()) for r in rows}:
+        one = sessions.PlaceFold(90, 500)
+        own = sorted((r for r in rows if (r[0], r[2] and r[2].date()) == group), key=lambda r: (r[2] or 0, r[1]))
+        want |= {(group[0], str(group[1]) if group[1] else None, r[1], one.add("", r[2].timestamp() * 1e6 if r[2] else 0, r[3], r[4])) for r in own}
+    got = sessions.place_sessions(df, "u", "ts", "i")
+    assert {tuple(r) for r in got.collect()} == want
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
 def test_orphans_and_valid_coordinates(spark):
     child, parent = spark.createDataFrame([(1,), (9,)], "c long"), spark.createDataFrame([(1,)], "p long")
     assert checks.orphans(child, parent, "c", "p", "m").first().n == 1
