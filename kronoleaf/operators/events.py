@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timeutil import micros
 from .search import flag, truthy
-from .sessions import metres
+from .sessions import MergeFold, PlaceFold, folded
 
 #: Words and endings of places, words of meetings, meals and other activities, special messages, and the method's name.
 METHOD = "rule_based_daily_v2"
@@ -91,54 +91,47 @@ def line_items(calls: DataFrame, keys: dict[str, Column]) -> DataFrame:
 def with_clusters(items: DataFrame, keys: list[str], config: Config = Config()) -> DataFrame:
     """Items with `cluster` (from 1 in each key and date, in order of time).
 
-    Messages part at gaps, which is a window; photos also part at distance from all
-    located photos of their session, and sessions of both kinds merge greedily. These
-    two rules depend on all before, so times and places of one key's day are folded
-    in one small group; texts take no part in it.
+    Messages part at gaps; photos also part at distance from all located photos of their
+    session, and sessions of both kinds merge greedily. These rules depend on all before, so
+    the items stream in order through one fold that numbers sessions, and, once the ends of
+    sessions are known, through another that numbers clusters.
     """
     by = [*keys, "date"]
-    w = Window.partitionBy(*by, "kind").orderBy("at", "id")
-    gap = micros(F.col("at")) - micros(F.lag("at").over(w))
-    parted = items.withColumn("session", F.sum((F.coalesce(gap >= config.line_gap * 60_000_000, F.lit(False)) & (F.col("kind") == "line")).cast("int")).over(w))
-    slim = parted.select(*by, "kind", "id", "at", "gps_lat", "gps_lon", "session")
-    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*by, "kind", "id"]) + ", cluster int"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "at", "id"]).reset_index(drop=True)
-        pdf["session"] = _photo_sessions(pdf, config)
-        groups = pdf.groupby(["kind", "session"], sort=False)["at"].agg(["min", "max"]).reset_index().sort_values(["min", "max", "kind"], ascending=[True, True, False])
-        number, merged, window = {}, [], pd.Timedelta(minutes=config.merge_window)
-        for kind, session, start, end in groups.itertuples(index=False):
-            last = merged[-1] if merged else None
-            if last and (len(last[0]) > 1 or kind not in last[0]) and start - last[2] <= window and last[1] - end <= window:
-                last[0].add(kind)
-                last[1], last[2] = min(last[1], start), max(last[2], end)
-            else:
-                merged.append([{kind}, start, end])
-            number[kind, session] = len(merged)
-        pdf["cluster"] = [number[k] for k in zip(pdf.kind, pdf.session, strict=True)]
-        return pdf[[*by, "kind", "id", "cluster"]]
-
-    return items.join(slim.groupBy(*by).applyInPandas(fold, schema), [*by, "kind", "id"])
-
-
-def _photo_sessions(pdf: pd.DataFrame, config: Config) -> list:
-    """Sessions of a day's sorted items: those of messages as they are, those of photos by gap and distance."""
-    out, session, last, located = [], 0, None, []
-    for kind, at, lat, lon, own in zip(pdf.kind, pdf["at"], pdf.gps_lat, pdf.gps_lon, pdf.session, strict=True):
-        if kind != "photo":
-            out.append(own)
-            continue
-        here = (lat, lon) if pd.notna(lat) and pd.notna(lon) else None
-        gap = last is None or (at - last).total_seconds() >= config.photo_gap * 60
-        if gap or (here and located and all(metres(*here, *x) > config.far_metres for x in located)):
-            session, located = session + 1, []
-        if here:
-            located.append(here)
-        last = at
-        out.append(session)
-    return out
+    at = micros(F.col("at"))
+    order = [F.asc_nulls_last(c) for c in ("at", "id")]
+
+    def parts() -> Callable[..., int]:
+        photos, gap = PlaceFold(config.photo_gap, config.far_metres), config.line_gap * 60_000_000
+        lines, last = 1, None
+
+        def session(kind: str, at: int, lat: float | None, lon: float | None) -> int:
+            nonlocal lines, last
+            if kind == "photo":
+                return photos.add("", at, lat, lon)
+            lines, last = lines + (last is not None and at - last >= gap), at
+            return lines
+
+        return session
+
+    rows = items.withColumns({"__at": at, "__lat": F.col("gps_lat").cast("double"), "__lon": F.col("gps_lon").cast("double")})
+    parted = folded(rows, [*by, "kind"], order, parts, ["kind", "__at", "__lat", "__lon"], "__session").drop("__lat", "__lon")
+    whole = Window.partitionBy(*by, "kind", "__session")
+    parted = parted.repartition(*by).withColumns({"__from": F.min("__at").over(whole), "__to": F.max("__at").over(whole)})
+
+    def merges() -> Callable[..., int]:
+        merge, last, number = MergeFold(config.merge_window), None, 0
+
+        def cluster(kind: str, session: int, start: int, end: int) -> int:
+            nonlocal last, number
+            if (kind, session) != last:
+                last, number = (kind, session), merge(kind, start, end)
+            return number
+
+        return cluster
+
+    order = [F.col("__from"), F.col("__to"), F.desc("kind"), F.col("__session")]
+    got = folded(parted, by, order, merges, ["kind", "__session", "__from", "__to"], "__cluster")
+    return got.select(*items.columns, F.col("__cluster").cast("int").alias("cluster"))
 
 
 def _gps() -> Column:
@@ -220,6 +213,15 @@ def event_id() -> Column:
     return F.concat(F.lit("event_"), F.sha2(F.concat_ws("|", F.lit(METHOD), "date", hm("start_at"), hm("end_at"), (F.col("cluster") - 1).cast("string"), F.concat_ws(",", "first_ids")), 256))
 
 
+def with_event_ids(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Items of `with_clusters` with the `event_id` that `drafts` gives their cluster."""
+    by = Window.partitionBy(*keys, "date", "cluster")
+    place = F.row_number().over(by.orderBy("at", "kind", "id"))
+    early = F.collect_list(F.when(F.col("__place") <= 5, F.struct("__place", "id"))).over(by)
+    rows = items.withColumn("__place", place).withColumns({"start_at": F.min("at").over(by), "end_at": F.max("at").over(by), "first_ids": F.transform(F.array_sort(early), lambda x: x.id)})
+    return rows.select(*items.columns, event_id().alias("event_id"))
+
+
 def evidence_rows(items: DataFrame) -> DataFrame:
     """One row an item with its weight in hundredths, and one each for recognised text and model text of photos."""
     photo = F.col("kind") == "photo"
