@@ -82,9 +82,8 @@ def built_events(t):
 @query()
 def built_evidence(t):
     """(event_id, evidence_type, evidence_id, weight) of the events built."""
-    items = ev.with_clusters(_items(t), ["owner"])
-    by = ["owner", "date", "cluster"]
-    return ev.evidence_rows(items).join(ev.drafts(items, ["owner"]).select(*by, "event_id"), by).select("event_id", "evidence_type", "evidence_id", "weight")
+    items = ev.with_event_ids(ev.with_clusters(_items(t), ["owner"]), ["owner"])
+    return ev.evidence_rows(items).select("event_id", "evidence_type", "evidence_id", "weight")
 
 
 _NEW = "SELECT DISTINCT concat('new_', date) AS id, date, 'generated' AS source, 0 AS is_user_edited, 'draft' AS title FROM life_events WHERE date BETWEEN '2024-01-05' AND '2024-01-10'"

@@ -96,6 +96,17 @@ def test_built_events_have_unique_ids_and_stay_the_same(spark):
     assert once == twice and len(once) == catalog.queries()["built_events"](spark, SF).count()
 
 
+def test_events_of_many_small_days_stream_through_tasks(spark):
+    """Days of people stream through tasks, without a call of Python a group; evidence has the ids of its events, whole for null owners."""
+    built, evidence = (catalog.queries()[n](spark, SF) for n in ("built_events", "built_evidence"))
+    assert all("FlatMapGroups" not in d._jdf.queryExecution().toString() for d in (built, evidence))
+    items = construction._items(tables(spark)).withColumn("owner", F.when(F.col("id").endswith("3"), F.col("owner"))).checkpoint()
+    rows = events.with_clusters(items, ["owner"])
+    assert rows.count() == items.count() and rows.where("owner is null").count() == items.where("owner is null").count() > 0
+    by, ids = ["owner", "date", "cluster"], events.with_event_ids(rows, ["owner"])
+    assert {tuple(r) for r in ids.select(*by, "event_id").distinct().collect()} == {tuple(r) for r in events.drafts(rows, ["owner"]).select(*by, "event_id").collect()}
+
+
 def test_leader_clusters(spark):
     rng = np.random.default_rng(5)
     centres = [(35.0, 139.0), (35.0, 139.0016), (35.0008, 139.0008), (36.0, 140.0), (-12.5, -77.0)]
