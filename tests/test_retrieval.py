@@ -128,6 +128,25 @@ def test_scan_reaches_the_files(spark, tmp_path):
     assert "GreaterThanOrEqual(sent_at,2024-01-04)" in plan and "LessThan(sent_at,2024-01-0:)" in plan and "In(k" in plan
 
 
+def test_media_of_many_vectors_send_their_best(spark):
+    """A block sends a row a medium and query, not a row for each of a medium's vectors, and the best media are among them."""
+    rng = np.random.default_rng(12)
+    rows = [(i, f"m{i % 30}", [float(x) for x in rng.normal(size=5)]) for i in range(900)]
+    v = spark.createDataFrame(rows, "vec_id long, media_id string, embedding array<double>")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    want = {}
+    for k, _, x in rows[::100]:
+        for i, m, y in rows:
+            if i != k:
+                want[k, m] = max(want.get((k, m), 0.0), round(cosine(x, y), 4))
+    want = {(k, m, s) for k in range(0, 900, 100) for s, m in [(s, m) for s, m in sorted(((s, m) for (j, m), s in want.items() if j == k), key=lambda r: (-r[0], r[1]))[:6]]}
+    assert {tuple(r) for r in multisearch.vector_candidates(q, v, 6).collect()} == want
+    sent = multisearch.nearest_groups(v, q, 6, 5e-5, 75)
+    assert sent.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 3 * 8 and sent.count() < 9 * 30 * 4
+    assert {tuple(r) for r in sent.groupBy("query_id", "media_id").agg(F.round(F.max("score"), 4)).collect()} >= want
+
+
 def test_threshold_edges_with_nulls(spark):
     from kronoleaf.operators import vectors
 
