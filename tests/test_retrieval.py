@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,18 @@ def test_metric_prunes(spark):
     assert made.pairs == 40 * (50 * 49 // 2) and made.products < 0.06 * 2000 * 2000
 
 
+def test_metric_without_clusters_sends_few_copies(spark):
+    """Where every cell would be visited, cells give way to blocks; pairs leave in slices, and a piece of placed rows is bounded."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=64)]) for i in range(900)], "i int, v array<double>")
+    centre = metric.unit_rows(pa.array([r.v for r in rows.limit(64).collect()], pa.list_(pa.float64())), 64)[0]
+    apart = np.sqrt(np.maximum(2 - 2 * centre @ centre.T, 1e-300))
+    assert metric._cheapest(rows, centre, apart, math.sqrt(2 - 2 * 0.42), 4096) <= 16
+    same = np.ones((700, 4)) / 2
+    slices = list(metric._near_pairs(same, np.repeat(same, 10, 0), 0.9, 1))
+    assert len(slices) > 1 and sum(len(i) for i, _, _ in slices) == 700 * 7000 and max(len(i) for i, _, _ in slices) <= 1 << 20
+
+
 def test_string_ids(spark):
     table = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.1]), ("c", [0.0, 1.0])], "id string, v array<float>")
     assert [tuple(r) for r in metric.near_edges(table, "id", "v", 0.9).collect()] == [("a", "b")]
