@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from kronoleaf.operators import clusters, geo, ranking
+from kronoleaf.operators import clusters, geo, people, ranking
 from kronoleaf.plans import catalog
 
 
@@ -100,3 +100,22 @@ def test_pilot(spark, limit):
 def test_pilot_images(spark):
     rows = catalog.queries()["pilot_images"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) > 30 and max(sum(r.date == d for r in rows) for d in {r.date for r in rows}) <= 8
+
+
+def test_people_of_media_travel_packed(spark):
+    """Links are opened after the exchange by event: no exchange carries a row a link, event and count."""
+    evidence = spark.createDataFrame([("e1", "photo", "m1"), ("e1", "photo", "m1"), ("e1", "photo", "m2"), ("e2", "photo", "m1"), ("e2", "line", "m2"), ("e9", "photo", "m1")], "event_id string, evidence_type string, evidence_id string")
+    rows = [("m1", f"p{i % 300}", f"f{i}", "manual", 1) for i in range(2500)] + [("m2", "p1", "f1", "manual", 1), ("m2", "p2", None, "manual", 1), ("m2", "p3", "f9", "manual", 0), ("m2", "gone", "f9", "manual", 1)]
+    links = spark.createDataFrame(rows, "media_id string, person_id string, face_id string, source string, is_verified int")
+    events, persons = spark.createDataFrame([("e1",), ("e2",)], "id string"), spark.createDataFrame([(f"p{i}",) for i in range(300)], "id string")
+    want = {}
+    for e, m in (("e1", "m1"), ("e1", "m2"), ("e2", "m1")):
+        for medium, p, f, _, ok in rows:
+            if medium == m and ok and p != "gone":
+                want.setdefault((e, p), (set(), set()))
+                want[e, p][0].add(m)
+                want[e, p][1].update({f} - {None})
+    got = people.events_by_faces(evidence, events, links, persons)
+    assert {(r.event_id, r.person_id): (r.media_count, r.face_count) for r in got.collect()} == {k: (len(m), len(f)) for k, (m, f) in want.items()}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(event_id" in x and "person_id" in x]
