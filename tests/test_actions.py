@@ -89,3 +89,21 @@ def test_crash_and_conflict(spark, store):
     with pytest.raises(Conflict):
         Late(spark, store.path).commit({"places": store.read("places").limit(0)}, "third")
     assert rows(store, "places") == before and [r.action for r in store.audit().collect()] == ["load", "first"]
+
+
+def test_places_travel_to_events_in_one_row_a_medium(spark):
+    from kronoleaf.operators import people
+
+    evidence = spark.createDataFrame([("e1", "photo", "m1"), ("e1", "ocr", "m2"), ("e2", "line", "m1"), (None, "vlm", "m2"), ("e3", "photo", "m9"), ("e2", "vlm", None)], "event_id string, evidence_type string, evidence_id string")
+    points = spark.createDataFrame([("m1", "c1"), ("m1", "c1"), ("m1", "c2"), ("m2", "c2"), ("m2", None), (None, "c1")] + [("m9", f"d{i}") for i in range(2500)], "media_id string, cluster_id string")
+    places = spark.createDataFrame([("p1", "c1"), ("p2", "c2"), ("p3", "d7")], "id string, cluster_id string")
+    at = spark.createDataFrame([("e4", "p1"), ("e1", "p2")], "event_id string, place_id string")
+    got = people.cluster_events(points, evidence, at, places)
+    wanted = [("c1", "e1"), ("c2", "e1"), (None, "e1"), ("c1", "e2"), ("c2", "e2"), ("c2", None), (None, None), ("c1", "e4"), *[(f"d{i}", "e3") for i in range(2500)]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+    media, events = people.propagated_places(points, evidence, places)
+    assert sorted(map(tuple, media.collect()), key=str) == sorted([("m1", "p1", 0.8), ("m1", "p2", 0.8), ("m2", "p2", 0.8), ("m9", "p3", 0.8), (None, "p1", 0.8)], key=str)
+    assert sorted(map(tuple, events.collect()), key=str) == sorted([("e1", "p1", 0.75), ("e1", "p2", 0.75), (None, "p2", 0.75), ("e3", "p3", 0.75)], key=str)
+    for rows, pair in ((got, "cluster_id"), (events, "place_id")):  # pairs are told apart where the event is, and not exchanged
+        keys = [x.split(")")[0] for x in rows._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+        assert not any("event_id" in k and pair in k for k in keys)
