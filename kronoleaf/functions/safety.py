@@ -18,11 +18,11 @@ FLAGS = (("relationship_inference_removed", RELATIONS), ("emotion_inference_remo
 
 def flags(text: Column) -> Column:
     """The flags of a text, in order; two general ones follow where there is any."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    any_ = lambda words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words])
-    own = F.array_compact(F.array(*[F.when(any_(words), F.lit(name)) for name, words in FLAGS]))
+    any_ = lambda low, words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words])
+    # A text is lower-cased once, not once a word.
+    own = F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: F.array_compact(F.array(*[F.when(any_(low, words), F.lit(name)) for name, words in FLAGS]))), F.lit(0))
     general = F.array(F.lit("sensitive_terms_removed"), F.lit("forbidden_terms_removed"))
-    return F.when(F.size(own) > 0, F.concat(own, general)).otherwise(own)
+    return F.get(F.transform(F.array(own), lambda x: F.when(F.size(x) > 0, F.concat(x, general)).otherwise(x)), F.lit(0))
 
 
 def cleaned(text: Column, most: int) -> Column:

@@ -64,3 +64,14 @@ def test_filters_of_the_queue(rows):
     assert queue(with_event=dates.where("media_id in ('a', 'x')")) == ["a"]
     with pytest.raises(ValueError):
         queue(date_from="2024-01-07")
+
+
+def test_flags_lower_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from kronoleaf.functions import safety
+
+    rows = spark.createDataFrame([("A SAD friend",), ("",), (None,), ("Definitely rain",)], "text string").select(safety.flags(F.col("text")).alias("f"))
+    general = ["sensitive_terms_removed", "forbidden_terms_removed"]
+    assert [r.f for r in rows.collect()] == [["relationship_inference_removed", "emotion_inference_removed", *general], [], [], ["overclaim_softened", *general]]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
