@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: What is redacted from recognised text, in this order, and what stands for it.
+#: What is redacted from recognised text, in this order, and what stands for it. A mail's name is tried at its start and
+#: after the last match only, and not given back: nothing else could match, and each word is read once.
 OCR_RULES = (
-    (r"(?i)https?://[^\s]+|www\.[^\s]+", "[URL]"), (r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"(?<!\d)(?:\+?\d{1,3}[-\s])?(?:\d{2,4}[-\s]){2,4}\d{2,4}(?!\d)", "[PHONE]"),
+    (r"(?i)https?://[^\s]+|www\.[^\s]+", "[URL]"), (r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"(?<!\d)(?:\+?\d{1,3}[-\s])?(?:\d{2,4}[-\s]){2,4}\d{2,4}(?!\d)", "[PHONE]"),
     (r"(?<!\d)(?:〒\s*)?\d{3}-\d{4}(?!\d)", "[POSTAL_CODE]"), (r"(?:東京都|北海道|京都府|大阪府|.{2,3}県).{0,24}?(?:市|区|町|村).{0,24}?\d{1,4}(?:[-ー−]\d{1,4}){0,3}", "[ADDRESS]"), (r"(?<!\d)\d{7,}(?!\d)", "[NUMBER]"),
 )
 #: The same for reports, before those.
@@ -19,9 +20,21 @@ def _cut(text: Column, most: int | None) -> Column:
     return text if most is None else F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…"))).otherwise(text)
 
 
+#: A rule is not tried on texts without any of the characters that each of its matches holds.
+NEEDED = {"[EMAIL]": "@", "[POSTAL_CODE]": "-", "[ADDRESS]": "都道府県"}
+
+
+def _replaced(text: Column, pattern: str, label: str) -> Column:
+    label_, needed = F.lit(label.replace("$", r"\$")), NEEDED.get(label)
+    if not needed:
+        return F.regexp_replace(text, F.lit(pattern), label_)
+    held = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in needed])
+    return F.get(F.transform(F.array(text), lambda t: F.when(held(t), F.regexp_replace(t, F.lit(pattern), label_)).otherwise(t)), F.lit(0))
+
+
 def redact_ocr(text: Column, most: int | None = None) -> Column:
     """A recognised text without addresses, numbers and links; runs of three blanks become a line break; null is empty."""
-    clean = reduce(lambda c, r: F.regexp_replace(c, r[0], r[1].replace("$", r"\$")), OCR_RULES, F.coalesce(text, F.lit("")))
+    clean = reduce(lambda c, r: _replaced(c, *r), OCR_RULES, F.coalesce(text, F.lit("")))
     return _cut(F.regexp_replace(F.trim(clean), r"\s{3,}", "\n"), most)
 
 

@@ -162,3 +162,18 @@ def test_stream_windows(spark, tmp_path):
     q = windows.sessions(stream, "ts", ["u"], 90, "1 hour").writeStream.format("memory").queryName("s").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.n for r in spark.table("s").collect()) == [1, 2]
+
+
+def test_redaction_reads_a_long_word_once(spark):
+    """A word of 300,000 letters without a mail's sign was tried from each of its letters."""
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from kronoleaf.functions import redaction as rd
+
+    began = time.time()
+    long, *short = [r.t for r in spark.createDataFrame([("x" * 300_000 + " a@b.cc",), ("to a@b.com1x@c.de, a.b@c d@e.f+g@h.io",), ("@a@b.cc a@@b.cc",)], "t string").select(rd.redact_ocr(F.col("t")).alias("t")).collect()]
+    assert time.time() - began < 20 and long == "x" * 300_000 + " [EMAIL]"
+    assert short == [re.sub(r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", "[EMAIL]", t, flags=re.A) for t in ("to a@b.com1x@c.de, a.b@c d@e.f+g@h.io", "@a@b.cc a@@b.cc")]
