@@ -107,3 +107,26 @@ def test_places_travel_to_events_in_one_row_a_medium(spark):
     for rows, pair in ((got, "cluster_id"), (events, "place_id")):  # pairs are told apart where the event is, and not exchanged
         keys = [x.split(")")[0] for x in rows._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
         assert not any("event_id" in k and pair in k for k in keys)
+
+
+def test_people_of_a_short_text_are_cut_before_they_meet(spark):
+    from kronoleaf.operators import people
+
+    rows = [(f"p{i}", f"Name {i}", f"alias {i}", (i * 7) % 3000) for i in range(3000)] + [("p5", "Name 5", "n", 1), ("q", None, "a", None)]
+    persons = spark.createDataFrame(rows, "id string, display_name string, public_name string, made long")
+    aliases = spark.createDataFrame([("p2999", "name"), ("p7", "1")], "person_id string, alias string")
+    speakers = spark.createDataFrame([(x,) for x in ("name", "1", "NAME 2", "Name 77", "none", " ", None)], "speaker_name string")
+    got = people.ranked_suggestions(speakers, persons, aliases, "made", 4)
+    want = []
+    for name in ("name", "1", "NAME 2", "Name 77"):
+        best = {}
+        for i, shown, public, _ in rows:
+            tests = (shown == name, public == name, (i, name) in {("p2999", "name"), ("p7", "1")}, shown is not None and name.lower() in shown.lower())
+            if any(tests):
+                best[i] = min(best.get(i, 9), tests.index(True))
+        reasons = ("display_name exact match", "public_name exact match", "person alias exact match", "name contains speaker text")
+        order = sorted((made, i) for i, _, _, made in rows if i in best)
+        want += [(name, i, reasons[best[i]], k) for k, (_, i) in enumerate(order[:4], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "dense_rank(created" in plan and "Partial" in "".join(x for x in plan.splitlines() if "WindowGroupLimit" in x and "dense_rank" in x)
