@@ -27,13 +27,15 @@ best AS (SELECT * FROM (SELECT range_id, date, cast(row_number() OVER (PARTITION
 _TOP = "row_number() OVER (PARTITION BY {} ORDER BY {}) AS k"
 
 
-def _held(t):
-    """What the ranges hold, and the events that may be shown."""
+def _sources(t):
+    """What totals are counted from, the events as they may be shown."""
     shown = search.overlaid_events(t("life_events"), t("overrides")).where("is_hidden = 0")
     vlm = st.summary_usable(search.effective_vlm(t("vlm"), t("vlm_overrides")))
-    names = ["evidence", "media", "ocr", "messages", "event_places", "event_people", "media_people", "speaker_links"]
-    daily = periods.daily_facts(events=shown, all_events=t("life_events"), vlm=vlm, calls=_calls(t), **{n: t(n) for n in names})
-    return periods.range_facts(t("date_ranges"), daily), shown
+    return {"events": shown, "vlm": vlm, "calls": _calls(t), **{n: t(n) for n in ("media", "ocr", "messages")}}
+
+
+def _best(t, sources):
+    return periods.best_days(periods.range_facts(t("date_ranges"), periods.daily_totals(**sources)))
 
 
 @query(f"""{_HELD}, s AS (SELECT range_id, section, name, sum(value) AS value FROM h GROUP BY 1,2,3),
@@ -46,19 +48,21 @@ UNION ALL SELECT range_id, section, name, value FROM (SELECT *, {_TOP.format("ra
 UNION ALL SELECT s.* FROM s JOIN n ON n.range_id=s.range_id AND n.name=s.name WHERE s.section LIKE 'person_%' UNION ALL SELECT range_id, 'day', date, score FROM best)""")
 def range_summaries(t):
     """All sections of the summary of each range of a table."""
-    held, _ = _held(t)
-    return periods.summary(held, t("places"), t("persons"))
+    sources, every = _sources(t), t("life_events")
+    held = periods.range_facts(t("date_ranges"), periods.daily_counts(**sources, all_events=every, evidence=t("evidence"), event_places=t("event_places")))
+    daily = periods.daily_people(all_events=every, calls=sources["calls"], **{n: t(n) for n in ("media", "messages", "event_people", "media_people", "speaker_links")})
+    return periods.summary(held, t("places"), t("persons"), people=periods.range_people(t("date_ranges"), daily, t("persons")))
 
 
 @query(f"{_HELD} SELECT * FROM best")
 def range_best_days(t):
     """The best days of each range with their counters."""
-    return periods.best_days(_held(t)[0])
+    return _best(t, _sources(t))
 
 
 @query(f"""{_HELD}, top AS (SELECT * FROM (SELECT date, id, title, confidence, cast(row_number() OVER (PARTITION BY date ORDER BY coalesce(confidence,0) DESC, coalesce(start_time,''), id) AS integer) AS position FROM e) WHERE position<=5)
 SELECT b.range_id, b.date, b.rank, t.position, t.id, t.title, t.confidence, {', '.join(f"(SELECT count(*) FROM evidence v WHERE v.event_id=t.id AND v.evidence_type='{k}') AS n_{k}" for k in ("line", "photo", "ocr", "vlm"))} FROM best b JOIN top t USING (date)""")
 def range_day_events(t):
     """The surest events of each range's best days, with their evidence."""
-    held, shown = _held(t)
-    return periods.day_events(periods.best_days(held), shown, t("evidence"))
+    sources = _sources(t)
+    return periods.day_events(_best(t, sources), sources["events"], t("evidence"))

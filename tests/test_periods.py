@@ -69,3 +69,27 @@ def test_titles_and_people_are_the_most(spark):
     got = by_range(periods.summary(held, places, persons))["r"]
     assert sorted(n for s, n in got if s == "title") == [f"t{i:02}" for i in range(4, 14)]
     assert sorted({n for s, n in got if s.startswith("person")}) == sorted(["p11"] + [f"p{i:02}" for i in range(9)])
+
+
+def test_people_of_ranges_equal_those_of_whole_facts(spark, tables):
+    ranges = spark.createDataFrame([("all", "2024-01-01", "2024-01-31"), ("two", "2024-01-01", "2024-01-02"), ("back", "2024-01-03", "2024-01-01")], "range_id string, date_from string, date_to string")
+    places = spark.createDataFrame([("p", "Park", "Area", "park")], "id string, display_name string, public_name string, category string")
+    persons = spark.createDataFrame([("a", "Ann", None, 0, 0), ("b", None, "Bea", 0, 0), ("h", "Hid", None, 1, 0)], "id string, display_name string, public_name string, is_hidden int, is_deleted int")
+    of = lambda *names: {n: tables[n] for n in names}
+    people = periods.range_people(ranges, periods.daily_people(**of("all_events", "media", "messages", "calls", "event_people", "media_people", "speaker_links")), persons)
+    counts = periods.daily_counts(**of("events", "all_events", "evidence", "media", "vlm", "ocr", "messages", "calls", "event_places"))
+    whole = periods.range_facts(ranges, periods.daily_facts(**tables))
+    assert by_range(periods.summary(periods.range_facts(ranges, counts), places, persons, people=people)) == by_range(periods.summary(whole, places, persons))
+    days = lambda daily: sorted(map(str, periods.best_days(periods.range_facts(ranges, daily)).collect()))
+    totals = periods.daily_totals(**of("events", "media", "vlm", "ocr", "messages", "calls"))
+    assert days(totals) == days(periods.daily_facts(**tables)) and not totals.where("section <> 'total'").count()
+
+
+def test_best_people_of_ranges_among_many(spark):
+    daily = [(f"2024-01-{d:02}", k, f"p{i:02}", float((i * d) % 7 + (k == "person_media"))) for d in range(1, 5) for i in range(30) for k in ("person_events", "person_media") if (i + d) % 3 and (i * d) % 7] + [("2024-01-09", "person_calls", "p29", 1.0)]
+    daily = spark.createDataFrame(daily, "date string, section string, name string, value double")
+    ranges = spark.createDataFrame([(f"{a}-{b}", f"2024-01-{a:02}", f"2024-01-{b:02}") for a in range(1, 10) for b in range(a, 10)], "range_id string, date_from string, date_to string")
+    persons = spark.createDataFrame([(f"p{i:02}", "same", None, 0, int(i == 7)) for i in range(30)], "id string, display_name string, public_name string, is_hidden int, is_deleted int")
+    places = spark.createDataFrame([], "id string, display_name string, public_name string, category string")
+    whole = periods.summary(periods.range_facts(ranges, daily), places, persons).where("section like 'person%'")
+    assert by_range(periods.range_people(ranges, daily, persons)) == by_range(whole)
