@@ -165,3 +165,15 @@ def test_threshold_edges_with_nulls(spark):
 
     table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, None])], "id long, v array<double>")
     assert [tuple(r) for r in vectors.threshold_edges(table, "id", "v", 0.9).collect()] == [(1, 2)]
+
+
+def test_threshold_edges_do_not_depend_on_slices(spark, monkeypatch):
+    from kronoleaf.operators import vectors
+
+    v = np.random.default_rng(5).normal(size=(70, 4))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    wanted = [(i, j) for i in range(70) for j in range(i + 1, 70) if unit[i] @ unit[j] >= 0.7]
+    table = spark.createDataFrame([(i, row) for i, row in enumerate(v.tolist())], "id long, v array<double>")
+    for rows in (1, 16, 1000):
+        monkeypatch.setattr(vectors, "SLICE", rows)
+        assert sorted(map(tuple, vectors.threshold_edges(table, "id", "v", 0.7, block=30).collect())) == wanted
