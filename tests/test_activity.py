@@ -279,6 +279,29 @@ def test_orphan_evidence_is_reported(spark):
     assert integrity.report(t.__getitem__, [rule]).first().n == 1 and integrity.sample(t.__getitem__, rule, "event_id").first()[0] == "e9"
 
 
+def test_integrity_counts_references_without_joins(spark):
+    """All references meet the keys of their parents in one grouping: no row of a child is exchanged for a join, and a frequent key is counted before it is sent."""
+    t = {
+        "child": spark.createDataFrame([(1, "a", 1.0), (1, "a", -0.0), (2, None, None), (None, "z", 0.0), (9, "z", 7.0)] + [(9, "a", 1.0)] * 5000, "p int, q string, x double"),
+        "other": spark.createDataFrame([("9",), ("1",), (None,)], "p string"),
+        "parent": spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long"),
+        "named": spark.createDataFrame([("a", 0.0), ("b", 1.0)], "id string, x double"),
+        "empty": spark.createDataFrame([], "p int, q string"),
+    }
+    I = integrity  # noqa: E741
+    rules = [
+        I.Orphan("child", "p", "p", "parent", "id"), I.Orphan("child", "few", "p", "parent", "id", "x > 5"), I.Orphan("child", "unsure", "p", "parent", "id", "q = 'z'"), I.Orphan("child", "q", "q", "named", "id"), I.Orphan("child", "x", "x", "named", "x"),
+        I.Orphan("child", "none", "p", "empty", "p"), I.Orphan("other", "p", "p", "named", "id"), I.Orphan("empty", "p", "p", "parent", "id"), I.Count("child", "z", "q = 'z'"), I.Count("empty", "all", "true"), I.Spread("child", "by", "q"), I.Spread("empty", "by", "q"),
+        I.Repeat("child", "again", ("p",)), I.Repeat("child", "pq", ("p", "q")), I.Repeat("empty", "again", ("p",)), I.Repeat("parent", "id", ("id",)),
+    ]
+    got = integrity.report(t.__getitem__, rules)
+    assert {r.metric: r.n for r in got.collect()} == {
+        "child.p": 5001, "child.few": 1, "child.unsure": 1, "child.q": 2, "child.x": 1, "child.none": 5004, "other.p": 2, "empty.p": 0, "child.z": 2, "empty.all": 0, "child.by:a": 5002, "child.by:z": 2, "child.by:null": 1, "child.again": 2, "child.pq": 2, "empty.again": 0, "parent.id": 1,
+    }
+    plan = integrity.report(t.__getitem__, [r for r in rules if isinstance(r, I.Orphan)])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 4
+
+
 def test_guards(spark):
     links = spark.createDataFrame([("a", "p1"), ("b", "p2"), ("c", "p1"), ("c", "p2")], "cluster_id string, person_id string")
     assert sorted(map(tuple, upkeep.relinked(links, "a", "b").collect())) == [("a", "p2"), ("b", "p2"), ("c", "p1"), ("c", "p2")]
