@@ -302,6 +302,15 @@ def test_integrity_counts_references_without_joins(spark):
     assert "Join" not in plan and plan.count("Exchange") <= 4
 
 
+def test_first_event_takes_evidence_as_it_is(spark):
+    """Repeated evidence is not grouped by event and medium before it meets the events."""
+    evidence = spark.createDataFrame([("e1", "m1"), ("e1", "m1"), ("e2", "m1"), ("e2", "m2"), ("e3", "m2"), ("e3", "m2"), ("e4", "m3"), (None, "m1"), ("e1", None)], "event_id string, evidence_id string")
+    events = spark.createDataFrame([("e1", 0, 0, "2024-01-02", "09:00"), ("e2", 0, 0, "2024-01-01", "10:00"), ("e3", 1, 0, "2024-01-09", "08:00"), ("e4", 1, 1, "2024-01-01", "07:00")], "id string, is_pinned int, is_hidden int, date string, start_time string")
+    got = people.first_event(evidence, events)
+    assert {r.evidence_id: r.event_id for r in got.collect()} == {"m1": "e2", "m2": "e3", None: "e1"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_guards(spark):
     links = spark.createDataFrame([("a", "p1"), ("b", "p2"), ("c", "p1"), ("c", "p2")], "cluster_id string, person_id string")
     assert sorted(map(tuple, upkeep.relinked(links, "a", "b").collect())) == [("a", "p2"), ("b", "p2"), ("c", "p1"), ("c", "p2")]
