@@ -130,6 +130,42 @@ def test_candidates(spark):
     assert {(r.query_id, r.id): (round(r.one, 2), round(r.two, 2)) for r in hits.collect()} == {(1, 7): (0.6, 0.3)}
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_events_are_looked_up_for_the_candidates_alone(spark, monkeypatch, few):
+    """The first event of each medium asked for, as of all media; where these are few, no row of other media meets events."""
+    random.seed(3)
+    monkeypatch.setattr(multisearch, "FEW", few)
+    met, choose = [], multisearch.first_event
+    monkeypatch.setattr(multisearch, "first_event", lambda evidence, events: met.append((evidence.count(), events.count())) or choose(evidence, events))
+    evidence = [(f"e{random.randrange(60)}", f"m{random.randrange(90)}") for _ in range(500)] + [("gone", "m1"), ("e1", None), (None, "m2")]
+    events = {f"e{i}": (f"2024-01-{random.randrange(3) + 1:02d}", f"0{random.randrange(3)}:00", f"t{i}", None if i % 4 else 0.5) for i in range(60)}
+    overrides = {f"e{i}": (i % 6 == 0, i % 5 == 0, "new" if i % 4 == 0 else "") for i in range(0, 60, 2)}
+    asked = [f"m{i}" for i in range(0, 100, 7)]
+    make = spark.createDataFrame
+    got = multisearch.events_of_media(
+        make([(m,) for m in asked], "media_id string"), make(evidence, "event_id string, evidence_id string"),
+        make([(i, d, at, t, None, None, c) for i, (d, at, t, c) in events.items()], "id string, date string, start_time string, title string, summary string, location_name string, confidence double"),
+        make([(i, t, None, None, 0, int(h), int(p)) for i, (h, p, t) in overrides.items()], "event_id string, title_override string, summary_override string, location_name_override string, is_verified int, is_hidden int, is_pinned int"),
+    )
+    state = lambda e: overrides.get(e, (False, False, ""))
+    want = {}
+    for m in asked:
+        own = sorted((-state(e)[1], *events[e][:2], e) for e, x in evidence if x == m and e in events and not state(e)[0])
+        if own:
+            e = own[0][-1]
+            want[m] = (e, state(e)[2] or events[e][2], events[e][3] or 0.0, int(state(e)[1]))
+    shown = [(e, m) for e, m in evidence if m in asked] if few else evidence
+    assert met == [(len(shown), len({e for e, _ in shown} & set(events)) if few else len(events))]
+    assert {r.media_id: (r.event_id, r.event_title, r.event_confidence, r.event_pinned) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_lines_said_alike_are_counted(spark):
+    lines = [("d1", "To Eat")] * 5 + [("d1", "eat ramen"), ("d2", "eat ramen"), ("d2", None), (None, "ramen"), ("d1", "x")]
+    asked = spark.createDataFrame([("q", "eat"), ("q", "ramen"), ("r", "ramen"), ("s", "zz")], "query_id string, term string")
+    got = multisearch.line_hits(asked, spark.createDataFrame(lines, "date string, text string"))
+    assert {tuple(r) for r in got.collect()} == {("q", "d1", 6), ("q", "d2", 1), ("r", "d1", 1), ("r", "d2", 1), ("q", None, 1), ("r", None, 1)}
+
+
 def test_scan_reaches_the_files(spark, tmp_path):
     from kronoleaf.operators import scans
 
