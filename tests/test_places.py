@@ -119,3 +119,51 @@ def test_people_of_media_travel_packed(spark):
     assert {(r.event_id, r.person_id): (r.media_count, r.face_count) for r in got.collect()} == {k: (len(m), len(f)) for k, (m, f) in want.items()}
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(event_id" in x and "person_id" in x]
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_people_of_events_are_dealt_by_event_once(spark, monkeypatch, few):
+    """Faces and lines of odd ids, repeated rows and shared faces, against a plain version; no pair of an event and a person is exchanged."""
+    random.seed(11)
+    monkeypatch.setattr(people, "FEW", few)
+    odd = ['p"1', "p,2", "p\\3", "p\n4", "", "人5", "null", "p'7"]
+    who = [*odd, *(f"p{i}" for i in range(30))]
+    links = [(f"m{random.randrange(12)}", random.choice([*who, "gone"]), random.choice(["f,1", 'f"2', "", None, *(f"f{i}" for i in range(9))]), random.choice(["manual", "face_cluster", "other"]), random.randrange(3) > 0) for _ in range(700)]
+    links += [("m0", f"p{i % 30}", f"f{i}", "manual", True) for i in range(2300)] + [(None, "p1", "f1", "manual", True), ("m1", None, "f1", "manual", True)]
+    evidence = [(f"e{random.randrange(25)}", random.choice(["photo", "photo", "line", "ocr"]), f"{random.choice('ml')}{random.randrange(14)}") for _ in range(260)] + [("e1", "photo", None), (None, "photo", "m1"), ("gone", "photo", "m1"), ("gone", "line", "l1")]
+    messages = [(f"l{i}", f"c{i % 2}", f"s{i % 4}") for i in range(12)]
+    speakers = [(f"c{i % 2}", f"s{i % 4}", who[i % 9], i % 5 > 0, i / 10) for i in range(24)]
+    make = spark.createDataFrame
+    tables = [
+        make(evidence * 2, "event_id string, evidence_type string, evidence_id string"), make([(f"e{i}",) for i in range(24)] + [("e1",)], "id string"),
+        make([(m, p, f, s, int(ok)) for m, p, f, s, ok in links * 2], "media_id string, person_id string, face_id string, source string, is_verified int"),
+        make(messages, "id string, chat_id string, sender string"), make([(c, s, p, int(ok), x) for c, s, p, ok, x in speakers], "chat_id string, speaker_name string, person_id string, is_verified int, confidence double"),
+        make([(p,) for p in who], "id string"),
+    ]
+    media, faces, lines = ({} for _ in range(3))
+    for e, kind, x in evidence:
+        if e in {f"e{i}" for i in range(24)}:
+            for m, p, f, s, ok in links if kind == "photo" else []:
+                if m == x is not None and ok and s != "other" and p in who:
+                    media.setdefault((e, p), set()).add(m)
+                    faces.setdefault((e, p), set()).update({f} - {None})
+            for i, c, name in messages if kind == "line" else []:
+                for chat, s, p, ok, _ in speakers:
+                    if (i, c, name) == (x, chat, s) and ok:
+                        lines.setdefault((e, p), set()).add(i)
+    want = [(*k, "face_cluster", 0.6, len(faces[k]), len(m), 0) for k, m in media.items()] + [(*k, "line_speaker", 0.7, len(x), 0, len(x)) for k, x in lines.items()]
+    want += [(*k, "combined", 0.9, len(faces[k]) + len(lines[k]), len(media[k]), len(lines[k])) for k in media.keys() & lines.keys()]
+    got = people.event_people(*tables)
+    assert got.columns == ["event_id", "person_id", "source", "confidence", "evidence_count", "media_count", "line_count"]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[2] == "combined" for r in want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(event_id" in x and "person_id" in x]
+
+
+def test_repeated_rows_of_a_table(spark):
+    """A table without its DISTINCT holds the same rows, some of them more than once."""
+    from kronoleaf.plans import domain
+
+    load = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    once, rows = domain.table(load, "media_people"), domain.table(load, "media_people", repeated=True)
+    assert rows.count() == load("lineitem").count() and rows.exceptAll(once).join(once, once.columns, "left_anti").count() == 0 and rows.distinct().count() == once.count()
